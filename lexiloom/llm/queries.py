@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, token_counts
+from . import exact_dedup, packing, quality, token_counts, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -38,6 +39,22 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.section_token_counts(_read(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def _fold(folds: int):
+    return F.crc32(F.col("doc_id").cast("string")) % folds
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.where(_fold(3) != 1), "quality")
+    return quality.scores(docs, model).select("doc_id", (_fold(3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(_fold(5) != 0), "toxic")
+    return toxicity.scores(docs, model).select("doc_id", (_fold(5) == 0).alias("held_out"), "score", "predicted", "n_segments", "p_value")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_read(spark, sf_dir, "documents"), tokenizer_file())
 
@@ -46,6 +63,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_token_counts": op2_token_counts,
+        "op3_quality": op3_quality,
+        "op4_toxicity": op4_toxicity,
         "op8_packing": op8_packing,
     }
 
