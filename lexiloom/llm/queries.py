@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, near_dup, packing, quality, token_counts, toxicity, url_filter
+from . import chat, exact_dedup, fingerprints, mixing, near_dup, packing, quality, token_counts, toxicity, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -125,6 +125,23 @@ FROM p LEFT JOIN fit USING (page_id)
 """
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_next(_read(spark, sf_dir, "documents"))
+
+
+#: Target shares of tokens by the domains that the labels mark.
+DOMAIN_TARGETS = {"good": 0.9, "poor": 0.08, "toxic": 0.02}
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _read(spark, sf_dir, "labels")
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
+    fitted = mixing.rates(_read(spark, sf_dir, "documents"), labels.select("doc_id", domain.alias("domain")), DOMAIN_TARGETS)
+    shares = [F.element_at("posterior", k + 1).alias(f"p_{d}") for k, d in enumerate(DOMAIN_TARGETS)]
+    rows = fitted.select("doc_id", "n_tokens", *shares, "rate", mixing.draws(F.col("rate"), F.struct("doc_id", "text_key")).alias("draws"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    return rows.drop("copy")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -132,9 +149,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality": op3_quality,
         "op4_toxicity": op4_toxicity,
         "op5_near_duplicates": op5_near_duplicates,
+        "op6_fingerprints": op6_fingerprints,
         "op7_chat_format": op7_chat_format,
         "op8_packing": op8_packing,
         "op9_url_filter": op9_url_filter,
+        "op10_mixing": op10_mixing,
     }
 
 
