@@ -66,7 +66,7 @@ _SENT = f"{_DOCS}, b AS (SELECT doc_id, {_sql_sentences('text')} AS s FROM d), s
 
 
 def _values(name: str, cols: str, rows) -> str:
-    q = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    q = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else f"{v}::BIGINT" if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
     return f"{name}({cols}) AS (VALUES {', '.join('(' + ', '.join(map(q, r)) + ')' for r in rows)})"
 
 
@@ -140,8 +140,8 @@ def flesch_fr(spark, sf_dir):
 
 
 # ---- richness and n-grams ------------------------------------------------------
-@query(f"""WITH {_TOK}, by AS (SELECT doc_id, word, count(*) AS c FROM tok GROUP BY ALL)
-SELECT doc_id, sum(c)::BIGINT AS word_count, count(*) AS unique_word_count, round(count(*) / sum(c), 6) AS type_token_ratio, round(sum(c * length(word)) / sum(c), 6) AS avg_word_length FROM by GROUP BY doc_id""")
+@query(f"""WITH {_TOK}, byw AS (SELECT doc_id, word, count(*) AS c FROM tok GROUP BY ALL)
+SELECT doc_id, sum(c)::BIGINT AS word_count, count(*) AS unique_word_count, round(count(*) / sum(c), 6) AS type_token_ratio, round(sum(c * length(word)) / sum(c), 6) AS avg_word_length FROM byw GROUP BY doc_id""")
 def type_token(spark, sf_dir):
     return _r(lexical.type_token(tokens.tokens(docs(spark, sf_dir))), "type_token_ratio", "avg_word_length")
 
@@ -191,8 +191,8 @@ def _content(spark, sf_dir):
     return lexical.content_words(tokens.with_lexicon(tokens.tokens(docs(spark, sf_dir)), lexicons.small_lexicon(spark)))
 
 
-@query(f"""WITH {_CONTENT}, by AS (SELECT doc_id, lemma, count(*) AS c, sum(known::INT) AS k FROM cw GROUP BY ALL)
-SELECT doc_id, sum(c)::BIGINT AS lexical_word_count, count(*) AS unique_lemma_count, round(count(*) / sum(c), 6) AS global_lemma_richness, round(sum(k) / sum(c), 6) AS lexicon_coverage, round(avg((c = 1)::INT), 6) AS hapax_ratio FROM by GROUP BY doc_id""")
+@query(f"""WITH {_CONTENT}, byw AS (SELECT doc_id, lemma, count(*) AS c, sum(known::INT) AS k FROM cw GROUP BY ALL)
+SELECT doc_id, sum(c)::BIGINT AS lexical_word_count, count(*) AS unique_lemma_count, round(count(*) / sum(c), 6) AS global_lemma_richness, round(sum(k) / sum(c), 6) AS lexicon_coverage, round(avg((c = 1)::INT), 6) AS hapax_ratio FROM byw GROUP BY doc_id""")
 def lemma_richness(spark, sf_dir):
     return _r(lexical.lemma_richness(_content(spark, sf_dir)), "global_lemma_richness", "lexicon_coverage", "hapax_ratio")
 
@@ -406,7 +406,7 @@ def html_blocks(spark, sf_dir):
 
 # ---- corpus analytics: one entity per source -------------------------------------------
 CORPUS_METRICS = ["avg_sentence_length", "sentence_length_std_dev", "burstiness", "type_token_ratio", "avg_word_length", "punctuation_per_100_words"]
-_CORPUS = f"""{_TOK}, by AS (SELECT doc_id, word, count(*) AS c FROM tok GROUP BY ALL), tt AS (SELECT doc_id, sum(c) AS words, count(*) / sum(c) AS type_token_ratio, sum(c * length(word)) / sum(c) AS avg_word_length FROM by GROUP BY doc_id),
+_CORPUS = f"""{_TOK}, byw AS (SELECT doc_id, word, count(*) AS c FROM tok GROUP BY ALL), tt AS (SELECT doc_id, sum(c) AS words, count(*) / sum(c) AS type_token_ratio, sum(c * length(word)) / sum(c) AS avg_word_length FROM byw GROUP BY doc_id),
 b AS (SELECT doc_id, {_sql_sentences('text')} AS s FROM d), sent AS (SELECT doc_id, unnest(range(len(s))) AS pos, unnest(s) AS sentence FROM b), ln AS (SELECT doc_id, pos, length(sentence) AS len FROM sent), st AS (SELECT *, abs(len - lag(len) OVER (PARTITION BY doc_id ORDER BY pos)) AS step FROM ln),
 sl AS (SELECT doc_id, avg(len) AS avg_sentence_length, stddev_pop(len) AS sentence_length_std_dev, coalesce(avg(step) / avg(len), 0) AS burstiness FROM st GROUP BY doc_id),
 pu AS (SELECT doc_id, len(regexp_extract_all(text, '[.,;:!?…—–\\-()«»"]')) AS marks FROM d),
