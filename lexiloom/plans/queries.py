@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..operators import compress, corpus, lexical, repetition, rhythm, structure, syntax, tokens
 from ..sources import html, lexicons
 from ..streaming import incremental
+from . import metrics, reports
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -519,6 +520,62 @@ def comparison_table(spark, sf_dir):
     return entity_long(spark, sf_dir).where(F.col("entity").isin("src0", "src1", "src2")).groupBy("metric").pivot("entity", ["src0", "src1", "src2"]).agg(F.round(F.first("value"), 6))
 
 
+@query()
+def metric_vector(spark, sf_dir):
+    """The whole vector of every document (no parses: syntax measures are absent)."""
+    return metrics.metric_vector(docs(spark, sf_dir), lexicons.small_lexicon(spark), lexicons.small_families(spark), lexicons.small_sounds(spark))
+
+
+@query()
+def uniformity(spark, sf_dir):
+    return rhythm.uniformity(metric_vector(spark, sf_dir))
+
+
+@query(f"""WITH {_DOCS}, r AS (SELECT doc_id, {_sql_words('text')} AS w, {_sql_sentences('text')} AS s FROM d)
+SELECT CASE WHEN len(w) >= 1000 THEN 'long' ELSE 'short' END AS kind, count(*) AS documents, sum(len(w))::BIGINT AS words, sum(len(s))::BIGINT AS sentences FROM r GROUP BY ALL""")
+def size_classes(spark, sf_dir):
+    """Documents, words and sentences by class of length."""
+    c = rhythm.basic_counts(docs(spark, sf_dir))
+    return c.groupBy(F.when(F.col("word_count") >= 1000, "long").otherwise("short").alias("kind")).agg(F.count(F.lit(1)).alias("documents"), F.sum("word_count").alias("words"), F.sum("sentence_count").alias("sentences"))
+
+
+@query(f"""WITH {_TOK}, byw AS (SELECT conv_id, role, text FROM conversations), c AS (SELECT CASE WHEN lower(role) = 'assistant' THEN 'assistant' ELSE 'human' END AS side, {_sql_words("coalesce(text, '')")} AS w FROM byw)
+SELECT side, count(*) AS turns, sum(len(w))::BIGINT AS words FROM c GROUP BY side""".replace(f"WITH {_TOK}, byw", "WITH byw"))
+def sides(spark, sf_dir):
+    """Machine and human turns of conversations."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.when(F.lower("role") == "assistant", "assistant").otherwise("human").alias("side"), F.size(T.tokenize(F.coalesce("text", F.lit("")))).alias("n"))
+    return c.groupBy("side").agg(F.count(F.lit(1)).alias("turns"), F.sum("n").alias("words"))
+
+
+@query()
+def comparable_windows(spark, sf_dir):
+    """Sentence measures averaged over paragraph windows of equal size."""
+    lines = docs(spark, sf_dir).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
+    return metrics.comparable(lines, lambda d: rhythm.sentence_lengths(tokens.sentences(d)), 200)
+
+
+@query()
+def detail_radar(spark, sf_dir):
+    """Radar of the measures whose dispersion reaches ten percent."""
+    long = entity_long(spark, sf_dir)
+    wide = [r.metric for r in corpus.dispersion(long).where("sigma >= 10").orderBy("metric").collect()]  # one row per measure
+    return corpus.radar(long, [(m, False) for m in wide]) if wide else corpus.radar(long, RADAR_AXES)
+
+
+@query()
+def author_podium(spark, sf_dir):
+    n = corpus.neighbourhood(_pairs(spark, sf_dir))
+    authors = n.select(F.col("left").alias("entity")).distinct().withColumn("author", F.concat(F.lit("Anne "), F.substring("entity", 1, 4)))
+    return corpus.podium(n, authors)
+
+
+@query()
+def nested_export(spark, sf_dir):
+    long = entity_long(spark, sf_dir)
+    works = long.select("entity", F.substring("entity", 1, 4).alias("author"), F.col("entity").alias("title")).distinct()
+    return reports.nested_json(long, works)
+
+
 # ---- incremental and authors --------------------------------------------------------------
 @query("SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 2 = 0")
 def changed_documents(spark, sf_dir):

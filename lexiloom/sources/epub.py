@@ -1,0 +1,91 @@
+"""EPUB archives to Markdown paragraphs: one archive is one row, unpacked on Arrow batches."""
+
+from __future__ import annotations
+
+import io
+import posixpath
+import re
+import zipfile
+from urllib.parse import unquote
+from xml.etree import ElementTree
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
+
+from .html import xhtml_blocks
+
+FRONT = re.compile(r"^(cover|couverture|toc|nav|titlepage|title|copyright|colophon|table)", re.I)
+NUMBERED = re.compile(r"^(chapitre|chapter|partie|livre)?\s*([0-9]+|[ivxlc]+)\b", re.I)
+SCHEMA = StructType([StructField("meta", MapType(StringType(), StringType())), StructField("blocks", ArrayType(StringType())), StructField("toc", ArrayType(StringType()))])
+
+
+def _name(tag: str) -> str:
+    return tag.rsplit("}", 1)[-1].lower()
+
+
+def _all(root: ElementTree.Element, name: str) -> list[ElementTree.Element]:
+    return [e for e in root.iter() if _name(e.tag) == name]
+
+
+def _text(e: ElementTree.Element) -> str:
+    return re.sub(r"\s+", " ", "".join(e.itertext())).strip()
+
+
+def _meta(package: ElementTree.Element) -> dict[str, str]:
+    one = lambda n: next((t for t in map(_text, _all(package, n)) if t), "")
+    dates = sorted(_all(package, "date"), key=lambda e: not any(v == "publication" for v in e.attrib.values()))
+    author = one("creator")
+    if author.count(",") == 1:
+        family, given = (x.strip() for x in author.split(","))
+        author = f"{given} {family}"
+    first, _, last = author.rpartition(" ")
+    return {"title": one("title"), "author": author, "author_firstname": first, "author_lastname": last, "publisher": one("publisher"), "genre": one("subject"), "publication_date": (_text(dates[0]) if dates else "").split("T")[0]}
+
+
+def _toc(book: zipfile.ZipFile, package: ElementTree.Element, items: dict[str, dict], base: str) -> list[tuple[str, str]]:
+    """(label, document) in reading order; the first label of a document counts."""
+    found: dict[str, str] = {}
+    path = next((i["href"] for i in items.values() if i.get("media-type") == "application/x-dtbncx+xml"), None) or next((i["href"] for i in items.values() if "nav" in i.get("properties", "").split()), None)
+    if path:
+        at = posixpath.normpath(posixpath.join(base, unquote(path)))
+        root = ElementTree.fromstring(book.read(at))
+        pairs = [(_text(_all(p, "navlabel")[0]), _all(p, "content")[0].get("src", "")) for p in _all(root, "navpoint") if _all(p, "navlabel") and _all(p, "content")] or [(_text(a), a.get("href", "")) for a in _all(root, "a")]
+        for label, href in pairs:
+            found.setdefault(posixpath.normpath(posixpath.join(posixpath.dirname(at), unquote(href.split("#")[0]))), label)
+    return [(label, doc) for doc, label in found.items()]
+
+
+def unpack(data: bytes) -> dict:
+    """Metadata, narrative blocks and chapter labels of one archive."""
+    with zipfile.ZipFile(io.BytesIO(data)) as book:
+        container = ElementTree.fromstring(book.read("META-INF/container.xml"))
+        opf = _all(container, "rootfile")[0].get("full-path", "")
+        package, base = ElementTree.fromstring(book.read(opf)), posixpath.dirname(opf)
+        items = {e.get("id", ""): dict(e.attrib) for e in _all(package, "item")}
+        spine = [posixpath.normpath(posixpath.join(base, unquote(items[r.get("idref", "")]["href"]))) for r in _all(package, "itemref") if r.get("idref", "") in items]
+        toc = _toc(book, package, items, base)
+        labels = {doc: label for label, doc in toc}
+        chapters = [doc for label, doc in toc if NUMBERED.match(label)] or [doc for label, doc in toc if not FRONT.match(label)]
+        start = min((spine.index(d) for d in chapters if d in spine), default=0)
+        blocks: list[str] = []
+        for doc in spine[start:]:
+            if FRONT.match(posixpath.basename(doc)) and doc not in chapters or doc not in book.namelist():
+                continue
+            own = xhtml_blocks(book.read(doc).decode("utf-8", "replace"))
+            if own and doc in labels:
+                own = [f"# {labels[doc]}", *(own[1:] if own[0].startswith("#") else own)]
+            blocks += [b for k, b in enumerate(own) if b != (own[k - 1] if k else blocks[-1] if blocks else None)]
+        return {"meta": _meta(package), "blocks": blocks, "toc": [label for label, _ in toc]}
+
+
+@F.pandas_udf(SCHEMA)
+def _unpacked(content: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([unpack(bytes(c)) for c in content], columns=["meta", "blocks", "toc"])
+
+
+def read_epubs(spark: SparkSession, path: str) -> DataFrame:
+    """path, meta, text (Markdown), toc: one row per *.epub file below the path."""
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").option("recursiveFileLookup", "true").load(path)
+    return raw.select("path", _unpacked("content").alias("e")).select("path", "e.meta", F.array_join("e.blocks", "\n\n").alias("text"), "e.toc")
