@@ -131,7 +131,7 @@ def _verify(threshold: float, shingle: int):
         pdf = pdf.sort_values("node")
         sets = _vector.shingle_sets(pdf["text"].fillna("").tolist(), shingle)
         node, copies, side = pdf["node"].to_numpy(), pdf["copies"].to_numpy(), (pdf["chunk"] != pdf["left"]).to_numpy()
-        if side.any():  # two chunks: pairs across
+        if (pdf["left"] != pdf["right"]).any():  # two chunks, either of which may be empty: pairs across
             link = np.zeros((len(node), len(node)), bool)
             i, j = np.flatnonzero(~side), np.flatnonzero(side)
             if len(i) and len(j):
@@ -167,9 +167,9 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     # one text of each candidate set, found by id and set (ids may repeat)
     wanted = members.select("node", "root", "chunks", "chunk", "copies", F.col("set_id").alias("w_id"))
     texts = docs.select(F.col(id_col).cast("long").alias("t_id"), F.col(text_col).alias("text"))
-    repeated = sets.groupBy("set_id").count().where("count > 1").limit(1).count() > 0
+    repeated = sig.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
     found = texts.join(wanted, F.col("t_id").eqNullSafe(F.col("w_id")))
-    if repeated:  # ids that name different texts: keep the text that belongs to the set
+    if repeated:  # ids that stand in several rows: keep one text, and one that belongs to the set
         found = stage(found.withColumn("r", F.monotonically_increasing_id()), "texts")
         own = signatures(found.select(F.col("r").alias("doc_id"), "text"), 1, 1, shingle=shingle).select(F.col("doc_id").alias("r"), F.col("digest").alias("r_digest"))
         digests = sets.select(F.col("node").alias("d_node"), "digest")

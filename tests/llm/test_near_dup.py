@@ -66,6 +66,15 @@ def test_odd_rows(odd_docs, no_docs):
     assert near_dup.near_classes(no_docs).count() == 0
 
 
+def test_repeated_ids(spark):
+    """Repeated rows are copies; an id with two texts stands for both."""
+    words = [f"w{i}" for i in range(60)]
+    near, other = " ".join(words[:-1] + ["x"]), " ".join(reversed(words))
+    docs = spark.createDataFrame([(1, " ".join(words)), (1, " ".join(words)), (2, near), (2, near), (2, other), (3, other + " y")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_links, r.n_set_links) for r in near_dup.near_classes(docs).collect())
+    assert got == [(1, 3, 1), (1, 3, 1), (2, 1, 1), (2, 3, 1), (2, 3, 1), (3, 1, 1)]
+
+
 def test_components(spark):
     rnd = random.Random(2)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)]
