@@ -415,7 +415,7 @@ wide AS (SELECT source AS entity, avg(avg_sentence_length) AS avg_sentence_lengt
   FROM documents JOIN tt USING (doc_id) JOIN sl USING (doc_id) JOIN pu USING (doc_id) GROUP BY source),
 long AS (UNPIVOT wide ON {', '.join(CORPUS_METRICS)} INTO NAME metric VALUE value)"""
 _PAIRS = f"""{_CORPUS}, ms AS (SELECT metric, avg(value) AS m, stddev_pop(value) AS s FROM long GROUP BY metric), z AS (SELECT entity, metric, CASE WHEN s > 1e-12 THEN (value - m) / s END AS z FROM long JOIN ms USING (metric)),
-pairs AS (SELECT a.entity AS "left", b.entity AS "right", avg(abs(a.z - b.z)) AS distance FROM z a JOIN z b ON a.metric = b.metric AND a.entity < b.entity GROUP BY ALL), both AS (SELECT * FROM pairs UNION ALL SELECT "right", "left", distance FROM pairs)"""
+pairs AS (SELECT a.entity AS "left", b.entity AS "right", avg(abs(a.z - b.z)) AS distance FROM z a JOIN z b ON a.metric = b.metric AND a.entity < b.entity GROUP BY ALL), bothways AS (SELECT * FROM pairs UNION ALL SELECT "right", "left", distance FROM pairs)"""
 
 
 def entity_long(spark, sf_dir) -> DataFrame:
@@ -449,19 +449,19 @@ def burrows_distance(spark, sf_dir):
     return _r(_pairs(spark, sf_dir), "distance")
 
 
-@query(f"""WITH {_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY "left" ORDER BY distance, "right") AS rank FROM both WHERE "left" IN ('src0', 'src1', 'src2') AND "right" NOT IN ('src0', 'src1', 'src2')) SELECT "left", "right", round(distance, 6) AS distance, rank FROM r WHERE rank <= 5""")
+@query(f"""WITH {_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY "left" ORDER BY distance, "right") AS rank FROM bothways WHERE "left" IN ('src0', 'src1', 'src2') AND "right" NOT IN ('src0', 'src1', 'src2')) SELECT "left", "right", round(distance, 6) AS distance, rank FROM r WHERE rank <= 5""")
 def burrows_top5(spark, sf_dir):
     names = entity_long(spark, sf_dir).select("entity").distinct()
     few = F.col("entity").isin("src0", "src1", "src2")
     return _r(corpus.nearest(_pairs(spark, sf_dir), names.where(few), names.where(~few)), "distance").withColumn("rank", F.col("rank").cast("long"))
 
 
-@query(f'WITH {_PAIRS} SELECT "left" AS entity, round(min(distance), 6) AS nearest FROM both GROUP BY "left"')
+@query(f'WITH {_PAIRS} SELECT "left" AS entity, round(min(distance), 6) AS nearest FROM bothways GROUP BY "left"')
 def singularity(spark, sf_dir):
     return _r(corpus.singularity(_pairs(spark, sf_dir)), "nearest")
 
 
-@query(f"""WITH {_PAIRS}, n AS (SELECT b."left", b."right", any_value(b.distance) AS distance, 100.0 * count(*) FILTER (WHERE round(p.distance, 12) >= round(b.distance, 12)) / count(*) AS percentile FROM both b CROSS JOIN pairs p GROUP BY b."left", b."right")
+@query(f"""WITH {_PAIRS}, n AS (SELECT b."left", b."right", any_value(b.distance) AS distance, 100.0 * count(*) FILTER (WHERE round(p.distance, 12) >= round(b.distance, 12)) / count(*) AS percentile FROM bothways b CROSS JOIN pairs p GROUP BY b."left", b."right")
 SELECT "left", "right", round(distance, 6) AS distance, round(percentile, 6) AS percentile FROM n""")
 def neighborhood_percentile(spark, sf_dir):
     return _r(corpus.neighbourhood(_pairs(spark, sf_dir)), "distance", "percentile").drop("rank")
@@ -491,8 +491,8 @@ def log_scaled_profile(spark, sf_dir):
     return _r(corpus.scaled(entity_long(spark, sf_dir)), "scaled")
 
 
-@query(f"""WITH {_SCALED}, o AS (SELECT entity, scaled * coalesce(lead(scaled) OVER w, first_value(scaled) OVER (PARTITION BY entity ORDER BY metric ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS p FROM sc WINDOW w AS (PARTITION BY entity ORDER BY metric)), a AS (SELECT entity, abs(sum(p)) * sin(2 * pi() / count(*)) / 2 AS area FROM o GROUP BY entity)
-SELECT entity, round(area / max(area) OVER () * 100, 6) AS coverage FROM a""")
+@query(f"""WITH {_SCALED}, o AS (SELECT entity, scaled * coalesce(lead(scaled) OVER w, first_value(scaled) OVER (PARTITION BY entity ORDER BY metric ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS p FROM sc WINDOW w AS (PARTITION BY entity ORDER BY metric)), ar AS (SELECT entity, abs(sum(p)) * sin(2 * pi() / count(*)) / 2 AS area FROM o GROUP BY entity)
+SELECT entity, round(area / max(area) OVER () * 100, 6) AS coverage FROM ar""")
 def coverage_surface(spark, sf_dir):
     return _r(corpus.coverage(corpus.scaled(entity_long(spark, sf_dir))), "coverage")
 

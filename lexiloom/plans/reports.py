@@ -41,7 +41,7 @@ def profiles(summary: DataFrame) -> str:
 def nested_json(long: DataFrame, works: DataFrame) -> DataFrame:
     """One JSON row per author: works with their metrics. works: entity, author, title."""
     metrics = long.groupBy("entity").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))).alias("metrics"))
-    rows = works.join(metrics, "entity").groupBy("author").agg(F.array_sort(F.collect_list(F.struct("title", "metrics"))).alias("works"))
+    rows = works.join(metrics, "entity").groupBy("author").agg(F.array_sort(F.collect_list(F.struct("title", "metrics")), lambda a, b: F.when(a["title"] < b["title"], -1).when(a["title"] > b["title"], 1).otherwise(0)).alias("works"))
     return rows.select("author", F.to_json(F.struct("author", "works")).alias("json"))
 
 
