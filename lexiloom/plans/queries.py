@@ -384,7 +384,7 @@ def front_matter(spark, sf_dir):
     return marked.select("doc_id", m["title"].alias("title"), m["author"].alias("author"), F.sha2(T.markdown_body(F.col("text")), 256).alias("body_sha256"))
 
 
-@query()
+@query(f"""WITH {_DOCS}, l AS (SELECT doc_id, list_filter(string_split_regex(text, '\\r\\n|[\\n\\r]'), lambda x: NOT regexp_matches(x, '^\\s*#{{1,6}}\\s+\\S') AND NOT regexp_matches(x, '^\\s*>')) AS l FROM d), j AS (SELECT doc_id, array_to_string(l, chr(10)) AS b FROM l) SELECT doc_id, sha256({_strip('b')}) AS clean_sha256 FROM j""")
 def clean_body(spark, sf_dir):
     marked = docs(spark, sf_dir).withColumn("text", F.concat(F.lit("# Préface\ndropped\n# Chapitre\n> quote\n"), "text"))
     return marked.select("doc_id", F.sha2(T.clean_body(F.col("text")), 256).alias("clean_sha256"))

@@ -194,7 +194,7 @@ def test_syntax(spark):
     s = {(r.doc_id, r.sent_id): r for r in syntax.sentence_measures(Q._parses(spark)).collect()}
     assert s[1, 0].comparison and not s[1, 1].comparison and s[2, 2].comparison
     assert s[2, 0].has_passive and s[2, 1].nominal and not s[1, 0].nominal
-    assert s[1, 0].depth == 2 and s[2, 0].depth == 2 and s[2, 1].depth == 0
+    assert s[1, 0].depth == 2 and s[2, 0].depth == 3 and s[2, 1].depth == 0
 
 
 def test_html():
