@@ -272,20 +272,61 @@ def repetition_distribution(spark, sf_dir):
 
 
 # ---- structure -------------------------------------------------------------------
+def _map(rows) -> str:
+    return "MAP {" + ", ".join(f"{_list([k])}: {_list([v])}" for k, v in rows) + "}"
+
+
+_SIG = rf"""{_DOCS}, un AS (SELECT doc_id, flatten(list_transform(list_filter(string_split_regex(text, '\r\n|[\n\r\x{{0B}}\x{{0C}}\x{{1C}}-\x{{1E}}\x{{85}}\x{{2028}}\x{{2029}}]'), lambda l: {_strip('l')} <> ''), lambda l: {_sql_sentences('l')})) AS u FROM d),
+us AS (SELECT doc_id, unnest(range(len(u))) AS unit, replace(lower(unnest(u)), '’', '''') AS x FROM un),
+tk AS (SELECT doc_id, unit, flatten(list_transform(regexp_extract_all(x, '{_W}+(?:''{_W}+)?|\.\.\.|[…,.!?;:—–()«»"-]'), lambda t: CASE WHEN contains(t, '''') AND string_split(t, '''')[1] IN ({_list(config.ELIDED)}) THEN [string_split(t, '''')[1], substr(t, length(string_split(t, '''')[1]) + 2)] ELSE [t] END)) AS t FROM us),
+tc AS (SELECT doc_id, unit, list_transform(t, lambda w: {{'w': w, 'c': lower({_map([(f, c) for f, _, c in lexicons.FORMS])}[w])}}) AS t FROM tk),
+tv AS (SELECT *, coalesce(list_max(list_transform(range(1, len(t) + 1), lambda i: CASE WHEN starts_with(coalesce(t[i].c, ''), 'verbe') THEN i ELSE 0 END)), 0) AS last_verb FROM tc),
+tr AS (SELECT doc_id, unit, list_filter(list_transform(range(1, len(t) + 1), lambda i: CASE WHEN t[i].w IN (',', '.') THEN t[i].w WHEN NOT regexp_matches(t[i].w, '^{_W}') THEN NULL
+  WHEN t[i].w IN ({_list(config.SUBORDINATORS)}) OR (t[i].w = 'pour' AND last_verb > i) THEN 'subordination' WHEN t[i].w IN ({_list(config.SUBJECT_PRONOUNS)}) THEN 'pronom'
+  ELSE coalesce({_map(config.ELIDED.items())}[t[i].w], t[i].c, 'inconnu') END), lambda v: v IS NOT NULL) AS c FROM tv),
+ts AS (SELECT doc_id, unit, list_transform(c, lambda v: CASE WHEN starts_with(v, 'nom') THEN 'nom' WHEN starts_with(v, 'adjectif') THEN 'adjectif' WHEN starts_with(v, 'verbe') THEN 'verbe' ELSE v END) AS c FROM tr),
+fold AS (SELECT doc_id, unit, list_reduce(list_transform(c, lambda v: {{'o': v, 'p': ''}}), lambda a, x: CASE
+  WHEN x.o IN (',', '.') THEN {{'o': a.o || x.o, 'p': ''}}
+  WHEN x.o IN ('déterminant', 'préposition') OR (x.o = 'pronom' AND a.p = 'pronom') OR (x.o = 'verbe' AND a.p = 'verbe') THEN a
+  WHEN x.o = 'nom' AND a.p = 'pronom' THEN {{'o': a.o || 'V', 'p': 'verbe'}}
+  ELSE {{'o': a.o || CASE x.o WHEN 'verbe' THEN 'V' WHEN 'subordination' THEN 'P' WHEN 'conjonction' THEN 'J' WHEN 'inconnu' THEN 'I' ELSE 'X' END, 'p': x.o}} END, {{'o': '', 'p': ''}}).o AS k FROM ts WHERE len(c) > 0),
+sig AS (SELECT doc_id, unit, coalesce(array_to_string(flatten(list_transform(regexp_extract_all(k, '[^,.]+|[,.]'), lambda g: CASE WHEN g IN (',', '.') THEN [g] ELSE list_transform(regexp_extract_all(g, 'P.*$|J?[^V]*V[^JP]*(?:P.*$|J|$)|.+$'), lambda z: CASE
+  WHEN starts_with(z, 'P') THEN 'P' WHEN regexp_replace(z, '^J', '') = '' THEN '' WHEN contains(z, 'V') THEN
+    CASE WHEN starts_with(regexp_replace(z, '^J', ''), 'V') THEN '' ELSE 'S' END || 'V' || CASE WHEN regexp_extract(regexp_replace(z, '^J', ''), '^[^V]*V([^JP]*)', 1) <> '' THEN 'C' ELSE '' END || regexp_extract(regexp_replace(z, '^J', ''), '^[^V]*V[^JP]*([JP]?)', 1)
+  WHEN regexp_replace(z, '^J', '') = 'I' THEN 'I' ELSE 'C' END) END)), ''), '') AS signature FROM fold WHERE k <> ''),
+ok AS (SELECT *, regexp_replace(signature, '[,.]', '', 'g') <> 'I' AS eligible, list_filter(regexp_extract_all(signature, 'P|(?:J[SVCI]*|[SVCI]+)[,.]?'), lambda q: regexp_replace(q, '[,.]', '', 'g') <> 'I') AS subpatterns FROM sig)"""
+
+
 def _signatures(spark, sf_dir):
     return structure.signatures(docs(spark, sf_dir), lexicons.small_lexicon(spark))
 
 
-@query()
+@query(f"""WITH {_SIG} SELECT doc_id, unit, signature, coalesce(array_to_string(list_transform(list_filter(string_split(signature, ''), lambda c: c <> ''), lambda c: {_map(structure.ROLE_NAMES.items())}[c]), ' '), '') AS roles, eligible, coalesce(array_to_string(subpatterns, '|'), '') AS subpatterns FROM ok""")
 def structure_signatures(spark, sf_dir):
-    return _signatures(spark, sf_dir).select("doc_id", "unit", "signature", structure.role_names(F.col("signature")).alias("roles"), structure.eligible(F.col("signature")).alias("eligible"), structure.subpatterns(F.col("signature")).alias("subpatterns"))
+    sig = F.col("signature")
+    return _signatures(spark, sf_dir).select("doc_id", F.col("unit").cast("long").alias("unit"), "signature", structure.role_names(sig).alias("roles"), structure.eligible(sig).alias("eligible"), F.array_join(structure.subpatterns(sig), "|").alias("subpatterns"))
 
 
-@query()
-def structural_measures(spark, sf_dir):
-    """Repetition, rhythm and diversity of signatures."""
-    s = _signatures(spark, sf_dir)
-    return structure.structural_repetition(s).join(structure.structural_rhythm(s), "doc_id", "full").join(structure.structural_diversity(s), "doc_id", "full")
+@query(f"""WITH {_SIG}, c AS (SELECT doc_id, signature, count(*) AS c FROM ok WHERE eligible GROUP BY ALL) SELECT doc_id, round(sum(CASE WHEN c > 1 THEN c ELSE 0 END) / sum(c), 6) AS structural_repetition_rate FROM c GROUP BY doc_id""")
+def structural_repetition(spark, sf_dir):
+    return _r(structure.structural_repetition(_signatures(spark, sf_dir)), "structural_repetition_rate")
+
+
+@query(f"""WITH {_SIG}, n AS (SELECT doc_id, signature, lead(signature) OVER (PARTITION BY doc_id ORDER BY unit) AS nxt FROM ok WHERE eligible)
+SELECT doc_id, round(coalesce(avg(CASE WHEN nxt IS NULL THEN NULL WHEN length(signature || nxt) = 0 THEN 0 ELSE levenshtein(signature, nxt) / greatest(length(signature), length(nxt)) END), 0), 6) AS structural_rhythm FROM n GROUP BY doc_id""")
+def structural_rhythm(spark, sf_dir):
+    return _r(structure.structural_rhythm(_signatures(spark, sf_dir)), "structural_rhythm")
+
+
+@query(f"""WITH {_SIG}, p AS (SELECT doc_id, array_to_string(list_sort(subpatterns), '|') AS id, count(*) AS k FROM ok WHERE eligible AND len(subpatterns) > 0 GROUP BY ALL),
+i AS (SELECT doc_id, id, k, pat, count(*) AS c FROM (SELECT *, unnest(string_split(id, '|')) AS pat FROM p) GROUP BY ALL), m AS (SELECT doc_id, id, any_value(k) AS k, sum(c) AS m FROM i GROUP BY ALL),
+pr AS (SELECT a.doc_id, a.id AS l, b.id AS r, a.k * b.k AS w, a.m AS m, b.m AS n FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.id < b.id),
+co AS (SELECT pr.*, pat, c AS x, 0 AS y FROM pr JOIN i ON i.doc_id = pr.doc_id AND i.id = l UNION ALL SELECT pr.*, pat, 0, c FROM pr JOIN i ON i.doc_id = pr.doc_id AND i.id = r),
+pp AS (SELECT doc_id, l, r, w, m, n, pat, sum(x) AS x, sum(y) AS y FROM co GROUP BY ALL), di AS (SELECT doc_id, w, (0.75 * 0.5 * sum(abs(x / m - y / n)) + 0.25 * sum(abs(x - y)) / (m + n)) * least(1, sqrt((m + n) / 12)) AS d FROM pp GROUP BY doc_id, l, r, w, m, n),
+fa AS (SELECT doc_id, sum(d * w) AS far FROM di GROUP BY doc_id), nn AS (SELECT doc_id, sum(k) AS n FROM p GROUP BY doc_id)
+SELECT doc_id, round(CASE WHEN n > 1 THEN coalesce(far, 0) / (n * (n - 1) / 2) ELSE 0 END, 6) AS structural_diversity FROM nn LEFT JOIN fa USING (doc_id)""")
+def structural_diversity(spark, sf_dir):
+    return _r(structure.structural_diversity(_signatures(spark, sf_dir)), "structural_diversity")
 
 
 # ---- dependency trees: a small parse table ------------------------------------------
