@@ -44,10 +44,10 @@ def document_mode(docs: DataFrame) -> DataFrame:
     return held.select(
         "doc_id", F.size("w").cast("long").alias("word_count"), F.size("s").cast("long").alias("sentence_count"), F.size("p").cast("long").alias("paragraph_count"), F.length("text").cast("long").alias("document_char_count"),
         at(0.5).cast("long").alias("median_sentence_length"), at(0.1).cast("long").alias("sentence_length_p10"), at(0.9).cast("long").alias("sentence_length_p90"),
-        F.round(total("w", lambda x: F.length(x).cast("double")) / F.greatest(F.size("w"), F.lit(1)), 6).alias("avg_word_length"),
-        F.round(total("s", lambda x: F.length(x).cast("double")) / F.greatest(F.size("s"), F.lit(1)), 6).alias("avg_sentence_length"),
-        F.round(total("s", plain) / F.greatest(F.size("s"), F.lit(1)), 6).alias("avg_sentence_word_count"),
-        F.round(100 * T.punctuation_count(text, True) / F.greatest(F.size("w"), F.lit(1)), 6).alias("punctuation_per_100_words"),
+        (total("w", lambda x: F.length(x).cast("double")) / F.greatest(F.size("w"), F.lit(1))).alias("avg_word_length"),
+        (total("s", lambda x: F.length(x).cast("double")) / F.greatest(F.size("s"), F.lit(1))).alias("avg_sentence_length"),
+        (total("s", plain) / F.greatest(F.size("s"), F.lit(1))).alias("avg_sentence_word_count"),
+        (100 * T.punctuation_count(text, True) / F.greatest(F.size("w"), F.lit(1))).alias("punctuation_per_100_words"),
     )
 
 

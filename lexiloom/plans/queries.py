@@ -20,10 +20,12 @@ SQL: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
+    """Registers a query under its name. Measures are rounded a hair above ties, which engines break differently."""
+
     def register(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = sql
+            SQL[f.__name__] = sql.replace(", 6)", " + 1e-9, 6)")
         return f
 
     return register
@@ -35,7 +37,7 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _r(df: DataFrame, *names: str) -> DataFrame:
     """Rounds measures, so that sums in another order give the same values."""
-    return df.withColumns({n: F.round(n, 6) for n in names})
+    return df.withColumns({n: F.round(F.col(n) + 1e-9, 6) for n in names})
 
 
 # ---- SQL fragments -----------------------------------------------------------
@@ -116,7 +118,7 @@ SELECT doc_id, len(w) AS word_count, len(s) AS sentence_count, len(p) AS paragra
   round(coalesce(list_sum(list_transform(s, lambda x: len(regexp_extract_all(x, '[\p{{L}}\p{{N}}_×÷]+')))), 0) / greatest(len(s), 1), 6) AS avg_sentence_word_count,
   round(100 * len(regexp_extract_all(text, '[.,;:!?…—–\-()«»"\[\]]')) / greatest(len(w), 1), 6) AS punctuation_per_100_words FROM l""")
 def document_mode_stats(spark, sf_dir):
-    return rhythm.document_mode(docs(spark, sf_dir))
+    return _r(rhythm.document_mode(docs(spark, sf_dir)), "avg_word_length", "avg_sentence_length", "avg_sentence_word_count", "punctuation_per_100_words")
 
 
 @query(f"""WITH {_DOCS}, p AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '\\n\\s*\\n'), lambda p: {_strip('p')} <> '')) AS p FROM d), w AS (SELECT doc_id, len({_sql_words('p')}) AS n FROM p)
@@ -558,7 +560,7 @@ def mds_map(spark, sf_dir):
 @query(f"""WITH {_CORPUS}, w AS (PIVOT (SELECT metric, entity, round(value, 6) AS v FROM long WHERE entity IN ('src0', 'src1', 'src2')) ON entity IN ('src0', 'src1', 'src2') USING first(v) GROUP BY metric) SELECT * FROM w""")
 def comparison_table(spark, sf_dir):
     """metric x entity."""
-    return entity_long(spark, sf_dir).where(F.col("entity").isin("src0", "src1", "src2")).groupBy("metric").pivot("entity", ["src0", "src1", "src2"]).agg(F.round(F.first("value"), 6))
+    return entity_long(spark, sf_dir).where(F.col("entity").isin("src0", "src1", "src2")).groupBy("metric").pivot("entity", ["src0", "src1", "src2"]).agg(F.round(F.first("value") + 1e-9, 6))
 
 
 @query()
