@@ -42,7 +42,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     """Cuts every document's ids (with the end id) into pieces of `capacity` and a rest."""
 
     def run(batches):
-        enc = encoder(tokenizer_path)
+        enc = encoder(tokenizer_path, spans=False)
         end = np.array([end_id], "<u4")
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
