@@ -28,7 +28,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 END = "</turn>"
-LOSS_ROLES = ("assistant", "gpt", "model", "bot")
+LOSS_ROLES = ("assistant",)
+#: What layouts with names of their own call the roles.
+ROLE_NAMES = {"human": "user", "gpt": "assistant"}
 #: Declarative mappings: name, field paths, and the turns as role and JSON path (a list path has [*]).
 MAPPINGS = {
     "messages": (("messages[].role", "messages[].content"), ("messages", "role", "content")),
@@ -65,7 +67,14 @@ def mapping_table(spark: SparkSession) -> DataFrame:
 
 
 def _turn(role: str, text: str):
-    return lambda m: F.struct(m[role].alias("role"), m[text].alias("text"))
+    def turn(m: Column) -> Column:
+        name = m[role]
+        if role == "from":
+            for own, canonical_name in ROLE_NAMES.items():
+                name = F.when(m[role] == own, canonical_name).otherwise(name)
+        return F.struct(name.alias("role"), m[text].alias("text"))
+
+    return turn
 
 
 def canonical_turns(record: Column, mapping: Column) -> Column:
@@ -116,7 +125,7 @@ def formatted(conversations: DataFrame) -> DataFrame:
     def piece(m: Column) -> Column:
         role, text = F.coalesce(m["role"], F.lit("")), F.coalesce(m["text"], F.lit(""))
         head = F.concat(F.lit("### "), escape_role(role), F.lit(": "))
-        return F.struct(head.alias("head"), escape(text).alias("body"), F.lower(role).isin(*LOSS_ROLES).alias("loss"))
+        return F.struct(head.alias("head"), escape(text).alias("body"), role.isin(*LOSS_ROLES).alias("loss"))
 
     pieces = conversations.select("conv_id", F.posexplode_outer(F.transform("turns", piece)).alias("at", "p"))
     tail = f" {END}\n"

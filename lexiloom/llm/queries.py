@@ -85,7 +85,7 @@ WITH r AS (
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
 ), e AS (
-  SELECT *, lower(role) IN ('assistant', 'gpt', 'model', 'bot') AS loss,
+  SELECT *, coalesce(role, '') = 'assistant' AS loss,
     length(replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>')) + 8 + 7
     + length(replace(replace(replace(replace(role, '\', '\\'), '###', '\###'), '</turn>', '\</turn>'), ':', '\c')) AS chars
   FROM r

@@ -71,6 +71,7 @@ def test_layouts(spark):
     records = [
         ('{"messages":[{"role":"user","content":"q"},{"role":"assistant","content":"a"}]}', "messages"),
         ('{"conversations":[{"value":"q","from":"user"},{"from":"assistant","value":"a"}]}', "conversations"),
+        ('{"conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"a"}]}', "conversations"),
         ('{"prompt":"q","response":"a"}', "prompt_response"),
         ('{"completion":"a","prompt":"q"}', "prompt_completion"),
         ('{"instruction":"q","output":"a"}', "instruction"),
