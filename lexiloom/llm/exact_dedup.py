@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ._store import stage
 
-BLOCK_CHARS = 4096
+BLOCK_CHARS, SECTION_BLOCKS = 4096, 64
 _LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -39,6 +39,12 @@ def _digest(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
+def _cut(text: Column, size: int) -> Column:
+    """array<string>: consecutive parts of `size` characters; one empty part of an empty text."""
+    last = F.greatest(F.lit(0), F.floor((F.length(text) - 1) / size).cast("int"))
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.substr(text, i * size + 1, F.lit(size)))
+
+
 def _named(items: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Distinct rows of `keys`, sorted within hash partitions and numbered.
 
@@ -52,11 +58,12 @@ def _named(items: DataFrame, keys: list[str], name: str) -> DataFrame:
 def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per distinct (doc_id, text): doc_id, digest (binary), copies (repeated rows), level, name."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("t"))
-    cut = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("t") - 1) / block_chars).cast("int"))),
-        lambda i: F.struct(i.alias("i"), F.col("t").substr(i * block_chars + 1, F.lit(block_chars)).alias("b")),
-    )
-    blocks = base.select("doc_id", _digest(F.col("t")).alias("digest"), F.explode(cut).alias("x")).select("doc_id", "digest", "x.i", "x.b")
+    # cut in two steps, sections and their blocks, so that a very long text is not walked from its start for every block;
+    # the digest is computed below the explode, once for each text
+    base = base.withColumn("digest", _digest(F.col("t")))
+    sections = base.select("doc_id", "digest", F.posexplode(_cut(F.col("t"), SECTION_BLOCKS * block_chars)).alias("s", "part"))
+    blocks = sections.select("doc_id", "digest", "s", F.posexplode(_cut(F.col("part"), block_chars)).alias("p", "b"))
+    blocks = blocks.select("doc_id", "digest", (F.col("s") * SECTION_BLOCKS + F.col("p")).alias("i"), "b")
     # level 0: distinct blocks get integer names; only their digests travel on
     names = stage(_named(blocks, ["b"], "name").select(_digest(F.col("b")).alias("block"), "name"), "block-names")
     clash = names.groupBy("block").count().where("count > 1").limit(1).count()
@@ -83,7 +90,7 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = done[0]
     for more in done[1:]:
         named = named.unionByName(more)
-    copies = base.groupBy("doc_id", _digest(F.col("t")).alias("digest")).agg(F.count(F.lit(1)).alias("copies"))
+    copies = base.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("copies"))
     same = F.col("n.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("n.digest") == F.col("c.digest"))
     return named.alias("n").join(copies.alias("c"), same).select("c.doc_id", "c.digest", "c.copies", "n.level", "n.name")
 
