@@ -1,7 +1,7 @@
 """Mixing sources to target weights by soft membership (DataFrame operations only).
 
 A classifier learned from a labelled table (naive Bayes over hashed word stems
-and a few hashed summaries, held or lacking, of the tokens that tell domains apart) gives every
+and a few hashed summaries, of the tokens that tell domains apart) gives every
 document a posterior over domains. Nonnegative rates of documents are fitted by
 projected-gradient least squares so that the expected tokens of each domain,
 sum(rate * tokens * posterior), match the targets. The gradient has one number
@@ -30,8 +30,9 @@ from ._store import stage
 
 BUCKETS, PER_DOMAIN, STEPS, TOLERANCE = 1 << 16, 4_000, 40, 1e-4
 STEM = 5
-#: Least likelihood ratio of a token that counts.
-SIGNIFICANT = 18.0
+#: A token counts if its likelihood ratio is over SIGNIFICANT; a word, moreover, if a domain holds it TELLING times as
+#: often (or seldom) as all do. Only what a text holds counts, so that a short text is judged by the prior, not by what it lacks.
+SIGNIFICANT, TELLING = 18.0, 3.0
 _SIGNS = "%*#&$|!<>=+@^~"
 _ROW = -1  # the token that stands for the row itself
 
@@ -57,7 +58,7 @@ def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def fit_model(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", per_domain: int = PER_DOMAIN) -> DataFrame:
-    """token, weights (log-odds of holding the token, by domain): at most BUCKETS rows and the summaries'. The row's own token has the priors."""
+    """token, weights (log of each domain's share of rows with the token over all domains'): at most BUCKETS rows and the summaries'. The row's own token has the priors."""
     spark = docs.sparkSession
     one = labelled.where(F.col(id_col).isNotNull() & F.col(domain_col).isin(domains)).groupBy(F.col(id_col).cast("long").alias("s_id")).agg(F.max(domain_col).alias("domain"))
     one = stage(one, "labelled")
@@ -74,12 +75,11 @@ def fit_model(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col:
     # likelihood ratio of the token's spread over domains; tokens within chance do not count
     spread = sum((F.when(F.col(f"c{k}") > 0, F.col(f"c{k}") * F.log(F.col(f"c{k}") * all_rows / (everything * max(1.0, s)))).otherwise(0.0) for k, s in enumerate(size)), F.lit(0.0))
     share = [(F.col(f"c{k}") + 0.5 * everything / all_rows + 0.1) / (s + 1.0) for k, s in enumerate(size)]
-    chosen = counts.where((F.col("token") != _ROW) & (2 * spread > SIGNIFICANT)).select(F.col("token").cast("int").alias("token"), *(F.least(p, F.lit(0.99)).alias(f"p{k}") for k, p in enumerate(share)))
-    chosen = stage(chosen, "domain-tokens")
-    # a chosen token that a text lacks counts, too: those constants go to the row's own token
-    absent = chosen.agg(*(F.sum(F.log(1 - F.col(f"p{k}"))) for k in range(len(domains)))).first()
-    row = spark.createDataFrame([(_ROW, [a + float(b or 0.0) for a, b in zip(log_prior, absent)])], "token int, weights array<double>")
-    weights = chosen.select("token", F.array(*(F.log(F.col(f"p{k}") / (1 - F.col(f"p{k}"))) for k in range(len(domains)))).alias("weights"))
+    ratio = F.greatest(*(F.abs(F.log(p * all_rows / everything)) for p in share))
+    summary = F.col("token") >= BUCKETS
+    chosen = counts.where((F.col("token") != _ROW) & (2 * spread > SIGNIFICANT) & (summary | (ratio > math.log(TELLING))))
+    weights = chosen.select(F.col("token").cast("int").alias("token"), F.array(*(F.log(p * all_rows / everything) for p in share)).alias("weights"))
+    row = spark.createDataFrame([(_ROW, log_prior)], "token int, weights array<double>")
     return stage(weights.unionByName(row), "domain-model")
 
 
@@ -87,7 +87,9 @@ def memberships(docs: DataFrame, model: DataFrame, domains: list[str], id_col: s
     """One row per distinct (doc_id, text): doc_id, text_key, copies, n_tokens (words), posterior (array by domain)."""
     base = _base(docs, id_col, text_col)
     n = F.when(F.trim("text") == "", 0).otherwise(F.size(F.split(F.btrim("text"), r"\s+"))).cast("long")
-    rows = base.select("doc_id", F.xxhash64("text").alias("text_key"), n.alias("n_tokens"), F.explode(_tokens()).alias("t"))
+    # two steps: what stands beside an explode is computed anew for each of its rows
+    held = base.select("doc_id", F.xxhash64("text").alias("text_key"), n.alias("n_tokens"), _tokens().alias("tokens"))
+    rows = held.select("doc_id", "text_key", "n_tokens", F.explode("tokens").alias("t"))
     hits = rows.join(F.broadcast(model), F.col("t") == F.col("token"))
     sums = hits.groupBy("doc_id", "text_key").agg(
         F.sum((F.col("t") == _ROW).cast("long")).alias("copies"), F.max("n_tokens").alias("n_tokens"), *(F.sum(F.element_at("weights", k + 1)).alias(f"s{k}") for k in range(len(domains)))
@@ -98,7 +100,7 @@ def memberships(docs: DataFrame, model: DataFrame, domains: list[str], id_col: s
     return powers.withColumn("whole", whole).select("doc_id", "text_key", "copies", "n_tokens", F.transform("e", lambda x: x / F.col("whole")).alias("posterior"))
 
 
-def fit_rates(members: DataFrame, targets: list[float], max_rate: float | None = None, anchor: int | None = None, steps: int = STEPS, margin: float = 1.02) -> DataFrame:
+def fit_rates(members: DataFrame, targets: list[float], max_rate: float | None = None, anchor: int | None = None, steps: int = STEPS, margin: float = 1.1) -> DataFrame:
     """members with rate. targets: weights by domain. Expected tokens in all stay, or, with an anchor, are such that the anchor's documents stay whole."""
     k = len(targets)
     goal = [t / sum(targets) for t in targets]
