@@ -16,20 +16,22 @@ band hash is a pair of longs. Groups of any size are verified whole: the work,
 not the memory, of one very large group grows with its square over the chunks.
 
 Defined cases: null text counts as empty; a text without words has no links and
-is a class of its own; repeated rows are copies; a null doc_id keeps its row;
-an empty table gives an empty result; `one_of_each` keeps all columns of its
-input, whatever their names.
+is a class of its own; repeated rows are copies; rows are told apart by id and
+text, so null or repeated ids may stand in any number of rows; `one_of_each`
+keeps one row of a class (a null id only where no row of it has one), and all
+columns of its input, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _vector
@@ -64,8 +66,14 @@ def _minhash(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return low
 
 
+def _text_keys(text: Column) -> list[Column]:
+    """128 bits that stand for a text."""
+    text = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
+
+
 def signatures(docs: DataFrame, bands: int, rows: int, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, digest of the shingle set (null without words), n (shingles), bands (array of long)."""
+    """doc_id, t1 and t2 (the text's key), digest of the shingle set (null without words), n (shingles), bands (array of long)."""
 
     def run(batches):
         a, b = _permutations(bands * rows)
@@ -85,10 +93,11 @@ def signatures(docs: DataFrame, bands: int, rows: int, id_col: str = "doc_id", t
                 keys.append(key.view(np.int64))
             cut = np.append(0, np.cumsum([len(k) for k in keys])).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), lists], ["doc_id", "digest", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), lists], ["doc_id", "t1", "t2", "digest", "n", "bands"])
 
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return own.mapInArrow(run, "doc_id long, digest binary, n int, bands array<long>")
+    t1, t2 = _text_keys(F.col(text_col))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), t1.alias("t1"), t2.alias("t2"))
+    return own.mapInArrow(run, "doc_id long, t1 long, t2 long, digest binary, n int, bands array<long>")
 
 
 def linked(a: list[np.ndarray], b: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -153,9 +162,18 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     n_links: other documents at or over the threshold; n_set_links: other
     shingle sets at or over it.
     """
+    return _classes(docs, threshold, recall, id_col, text_col, shingle)[0].select("doc_id", "class_id", "keep_id", "set_id", "n_links", "n_set_links")
+
+
+def _classes(docs: DataFrame, threshold: float, recall: float, id_col: str, text_col: str, shingle: int) -> tuple[DataFrame, bool]:
+    """near_classes with t1, t2 and keep (the struct doc_id, t1, t2 of the row that stays, null for a text without words), and whether an id, or null, stands in several rows."""
     bands, rows = banding(threshold, recall, MAX_HASHES)
     sig = stage(signatures(docs, bands, rows, id_col, text_col, shingle), "signatures")
-    sets = sig.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("set_id"), F.max("doc_id").alias("last_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    own = F.struct("doc_id", "t1", "t2")
+    sets = sig.where("digest is not null").groupBy("digest").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t1", "t2")).alias("one"), F.max(own).alias("last"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")
+    )
+    sets = sets.withColumn("set_id", F.col("one.doc_id"))
     sets = stage(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
     keys = sets.select("node", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("key").alias("k"), "v")
@@ -164,17 +182,19 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
     chunks = sizes.select("root", F.greatest(F.ceil(F.col("c") / CHUNK_ROWS), F.ceil(F.col("s") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
     members = stage(groups.join(chunks, "root").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")), "members")
-    # one text of each candidate set, found by id and set (ids may repeat)
+    # one text of each candidate set, found by its id, or by id and text where ids repeat
     wanted = members.select("node", "root", "chunks", "chunk", "copies", F.col("set_id").alias("w_id"))
     texts = docs.select(F.col(id_col).cast("long").alias("t_id"), F.col(text_col).alias("text"))
     repeated = sig.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    found = texts.join(wanted, F.col("t_id").eqNullSafe(F.col("w_id")))
-    if repeated:  # ids that stand in several rows: keep one text, and one that belongs to the set
-        found = stage(found.withColumn("r", F.monotonically_increasing_id()), "texts")
-        own = signatures(found.select(F.col("r").alias("doc_id"), "text"), 1, 1, shingle=shingle).select(F.col("doc_id").alias("r"), F.col("digest").alias("r_digest"))
-        digests = sets.select(F.col("node").alias("d_node"), "digest")
-        found = found.join(own, "r").join(digests, (F.col("node") == F.col("d_node")) & (F.col("digest") == F.col("r_digest"))).drop("r", "r_digest", "d_node", "digest")
-    found = found.select("node", "root", "chunk", "chunks", "copies", "text").dropDuplicates(["node"]) if repeated else found.select("node", "root", "chunk", "chunks", "copies", "text")
+    same = F.col("t_id").eqNullSafe(F.col("w_id"))
+    if repeated:
+        k1, k2 = _text_keys(F.col("text"))
+        texts = texts.withColumn("k1", k1).withColumn("k2", k2)
+        wanted = wanted.join(sets.select("node", "one.t1", "one.t2"), "node")
+        same = same & (F.col("k1") == F.col("t1")) & (F.col("k2") == F.col("t2"))
+    found = texts.join(wanted, same)
+    found = found.select("node", "root", "chunk", "chunks", "copies", "text")
+    found = found.dropDuplicates(["node"]) if repeated else found
     dealt = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
         "node", "root", "chunk", "copies", "text", F.least("chunk", "other").alias("left"), F.greatest("chunk", "other").alias("right")
     )
@@ -182,16 +202,27 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     links = blocks.groupBy("node").agg(F.sum("n_sets").alias("n_set_links"), F.sum("n_docs").alias("n_docs"))
     roots = components(blocks.select(F.col("node").alias("u"), F.col("anchor").alias("v")))
     nodes = sets.join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    nodes = stage(nodes.select("node", "digest", "set_id", "last_id", "copies", "root", F.coalesce("n_set_links", F.lit(0)).alias("n_set_links"), (F.coalesce("n_docs", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "nodes")
-    classes = nodes.groupBy("root").agg(F.min("set_id").alias("class_id"), F.max("last_id").alias("keep_id"))
-    named = nodes.join(classes, "root").select("digest", "class_id", "keep_id", "set_id", "n_links", "n_set_links")
-    full = sig.where("digest is not null").select("doc_id", "digest").join(named, "digest").drop("digest")
+    nodes = stage(nodes.select("node", "digest", "set_id", "last", "copies", "root", F.coalesce("n_set_links", F.lit(0)).alias("n_set_links"), (F.coalesce("n_docs", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "nodes")
+    classes = nodes.groupBy("root").agg(F.min("set_id").alias("class_id"), F.max("last").alias("keep"))
+    named = nodes.join(classes, "root").select("digest", "class_id", F.col("keep.doc_id").alias("keep_id"), "set_id", "n_links", "n_set_links", "keep")
+    full = sig.where("digest is not null").select("doc_id", "t1", "t2", "digest").join(named, "digest").drop("digest")
     zero = F.lit(0).cast("long")
-    empty = sig.where("digest is null").select("doc_id", *(F.col("doc_id").alias(c) for c in ("class_id", "keep_id", "set_id")), zero.alias("n_links"), zero.alias("n_set_links"))
-    return full.unionByName(empty)
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs that stay: of each class the one with the largest id, with docs' columns."""
-    dropped = near_classes(docs, id_col=id_col, **options).where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("__d_id")).distinct()
-    return docs.join(stage(dropped, "dropped"), F.col(id_col).cast("long").eqNullSafe(F.col("__d_id")), "left_anti").select(*docs.columns)
+    empty = sig.where("digest is null").select("doc_id", "t1", "t2", *(F.col("doc_id").alias(c) for c in ("class_id", "keep_id", "set_id")), zero.alias("n_links"), zero.alias("n_set_links"), F.lit(None).cast(named.schema["keep"].dataType).alias("keep"))
+    return full.unionByName(empty), repeated
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of docs that stay: of each class one row, which has the largest id, with docs' columns."""
+    rows, repeated = _classes(docs, threshold, recall, id_col, text_col, shingle)
+    t1, t2 = _text_keys(F.col(text_col))
+    own = {"doc_id": F.col(id_col).cast("long"), "t1": t1, "t2": t2} if repeated else {"doc_id": F.col(id_col).cast("long")}
+    stays = F.struct("doc_id", "t1", "t2").eqNullSafe(F.col("keep"))
+    by_row = rows.where("n_links > 0").groupBy(*(F.col(c).alias(f"__d_{c}") for c in own)).agg(F.first(stays).alias("__d_stays"), F.count(F.lit(1)).alias("__d_n"))
+    odd = stage(by_row.where("not __d_stays or __d_n > 1"), "dropped")
+    key = functools.reduce(Column.__and__, (v.eqNullSafe(F.col(f"__d_{c}")) for c, v in own.items()))
+    kept = docs.join(odd, key, "left_anti").select(*docs.columns)
+    if not repeated:
+        return kept
+    # equal id and text in several rows, of which one stays
+    one = docs.join(odd.where("__d_stays"), key).dropDuplicates([f"__d_{c}" for c in own]).select(*docs.columns)
+    return kept.unionByName(one)

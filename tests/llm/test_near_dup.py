@@ -75,6 +75,21 @@ def test_repeated_ids(spark):
     assert got == [(1, 3, 1), (1, 3, 1), (2, 1, 1), (2, 3, 1), (2, 3, 1), (3, 1, 1)]
 
 
+def test_null_and_repeated_ids_leave_one_row_of_a_class(spark):
+    words = [f"w{i}" for i in range(60)]
+    text, near = " ".join(words), " ".join(words[:-1] + ["x"])
+    twin, twin2, clean = " ".join(reversed(words)), " ".join(reversed(["z"] + words[1:])), " ".join(words[::2])
+    many = [(None, f"alone {i} " + " ".join(words[i : i + 9])) for i in range(0, 40, 10)]
+    rows = [(1, text), (None, near), (None, clean), (None, twin), (None, twin2), (7, "a b c d e f"), (7, "A b c, d e f"), (7, "g h i j k l"), (8, "m n o p q"), (8, "m n o p q"), (None, ""), (None, None), *many]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, row long")
+    kept = sorted((r.row, r.doc_id) for r in near_dup.one_of_each(docs).collect())
+    by = {k for k, _ in kept}
+    assert len(by) == len(kept)
+    assert 0 in by and 1 not in by  # an id goes before a null
+    assert {2, 7, 10, 11, 12, 13, 14, 15} <= by  # unique texts, and those without words
+    assert [len(by & pair) for pair in ({3, 4}, {5, 6}, {8, 9})] == [1, 1, 1]
+
+
 def test_components(spark):
     rnd = random.Random(2)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)]
