@@ -51,7 +51,7 @@ def _starts(raw: np.ndarray, kind: np.ndarray) -> np.ndarray:
     st[last[raw[last] == 32] + 1] = False
     # contractions: an apostrophe alone, begun as a token of its own, then certain letters
     p = np.flatnonzero((raw == 39) & st)
-    p = p[(p + 3 < n)]
+    p = p[p + 2 < n]  # the slice ends in an end mark, which is no letter
     p = p[(kind[p + 1] == _LETTER)]
     one = np.isin(raw[p + 1], [ord(c) for c in "stmd"])
     a, b = raw[p + 1], raw[p + 2]

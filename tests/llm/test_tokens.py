@@ -38,6 +38,15 @@ def test_ids_and_spans_equal_the_library(tok, spans):
                 assert list(zip(got[3][lo:hi].tolist(), got[4][lo:hi].tolist())) == want[first + k].offsets
 
 
+@pytest.mark.parametrize("end", ["it's", "can't", "I'm", "he'd", "we'll", "you're", "it'", "'s", "it'sé", "it's\n"])
+@pytest.mark.parametrize("before", [[], ["some text", "it's"]])
+def test_contraction_at_the_end_of_a_slice(tok, before, end):
+    texts = [*before, end]
+    for spans in (True, False):
+        first, ids, bounds = next(_bpe.encoder(tokenizer_file(), spans).encode(texts, spans=spans))[:3]
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [c.ids for c in tok.encode_batch(texts, add_special_tokens=False)]
+
+
 @pytest.mark.parametrize("rule", token_counts.RULES)
 def test_counts_add_up(odd_docs, tok, rule):
     rows = token_counts.section_token_counts(odd_docs, tokenizer_file(), rule=rule).collect()
