@@ -8,15 +8,17 @@ Two documents have the same (level, name) exactly when their texts are equal.
 Scale: a distinct block is shuffled once (after map-side dedup); everything
 later moves only digests and integers. The number of levels is the logarithm
 of the longest document's length. A block or a group of copies that holds a
-large share of all rows meets only map-side combined aggregates and joins that
-adaptive execution splits. Digests (SHA-256) stand for blocks in one join;
+large share of all rows meets only map-side combined aggregates and joins of written
+tables, whose hot partitions adaptive execution splits. Digests (SHA-256) stand for blocks in one join;
 that they are collision-free over all blocks is checked, and a collision
 raises an error instead of merging documents.
 
-Defined cases: null text counts as empty; rows that repeat a doc_id with the
-same text are copies of one document, of which one row stays; a null doc_id is
-smaller than any other; an empty table gives an empty result; extra columns,
-whatever their names, pass through `deduplicated` unchanged.
+Defined cases: ids are integers or cast to them; null text counts as empty; rows
+that repeat a doc_id with the same text are copies of one document, of which one
+row stays (where other columns differ, the one with the smallest digest of the
+whole row); a null doc_id is smaller than any other; an empty table gives an
+empty result; extra columns, whatever their names, pass through `deduplicated`
+unchanged.
 """
 
 from __future__ import annotations
@@ -24,9 +26,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import _rows
 from ._store import stage
 
 BLOCK_CHARS, SECTION_BLOCKS = 4096, 64
+#: Of a row that repeats, one task writes out so many at most.
+REPEATS = 100_000
 _LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -57,7 +62,7 @@ def _named(items: DataFrame, keys: list[str], name: str) -> DataFrame:
 
 def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per distinct (doc_id, text): doc_id, digest (binary), copies (repeated rows), level, name."""
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("t"))
+    base = docs.select(_rows.named(id_col).cast("long").alias("doc_id"), normalised(_rows.named(text_col)).alias("t"))
     # cut in two steps, sections and their blocks, so that a very long text is not walked from its start for every block;
     # the digest is computed below the explode, once for each text
     base = base.withColumn("digest", _digest(F.col("t")))
@@ -95,21 +100,36 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return named.alias("n").join(copies.alias("c"), same).select("c.doc_id", "c.digest", "c.copies", "n.level", "n.name")
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, block_chars: int) -> DataFrame:
+    """One row per distinct (doc_id, text): doc_id, digest, copies, keep_id, group_size."""
+    ids = stage(identities(docs, id_col, text_col, block_chars), "identities")
+    groups = stage(ids.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")), "groups")
+    return stage(ids.join(groups, ["level", "name"]).select("doc_id", "digest", "copies", "keep_id", "group_size"), "grouped")
+
+
+def _each_copy(rows: DataFrame) -> DataFrame:
+    """rows, each as often as its `copies`, with `copy` from 1; a row with very many is dealt out in parts."""
+    few = rows.where(F.col("copies") <= REPEATS).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    parts = rows.where(F.col("copies") > REPEATS).withColumn("first", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"), F.lit(REPEATS).cast("long"))))
+    dealt = parts.repartition(F.col("doc_id"), F.col("first"))
+    return few.unionByName(dealt.withColumn("copy", F.explode(F.sequence(F.col("first"), F.least(F.col("copies"), F.col("first") + REPEATS - 1)))).drop("first"))
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    ids = stage(identities(docs, id_col, text_col, block_chars), "identities")
-    groups = ids.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
-    rows = ids.join(groups, ["level", "name"])
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    rows = _each_copy(_grouped(docs, id_col, text_col, block_chars))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
     return rows.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of docs that stay, with docs' columns."""
-    groups = exact_groups(docs, id_col, text_col, block_chars)
-    kept = stage(groups.where("kept").select(F.col("doc_id").alias("__k_id"), F.unhex("text_sha256").alias("__k_digest")), "kept")
-    keyed = docs.withColumn("__k_own", _digest(normalised(F.col(text_col))))
-    once = keyed.dropDuplicates([id_col, "__k_own"])  # repeated rows combine before the shuffle
-    match = F.col(id_col).cast("long").eqNullSafe(F.col("__k_id")) & (F.col("__k_own") == F.col("__k_digest"))
-    return once.join(kept, match, "left_semi").select(*docs.columns)
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    odd = _grouped(docs, id_col, text_col, block_chars).where(~stays | (F.col("copies") > 1))
+    odd = stage(odd.select(F.col("doc_id").alias("o_id"), F.col("digest").alias("o_digest"), stays.alias("stays")), "odd")
+    rows = _rows.held(docs).withColumn("id", _rows.field(id_col).cast("long")).withColumn("digest", _digest(normalised(_rows.field(text_col))))
+    match = F.col("id").eqNullSafe(F.col("o_id")) & (F.col("digest") == F.col("o_digest"))
+    kept = rows.join(odd, match, "left_anti").select("row")
+    if odd.where("stays").limit(1).count():  # rows that repeat, of which one stays
+        kept = kept.unionByName(_rows.one_of(rows.join(odd.where("stays"), match, "left_semi"), "id", "digest"))
+    return _rows.released(kept)

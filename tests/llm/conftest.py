@@ -2,6 +2,8 @@ import pytest
 
 #: Texts with nulls, empties, ties and repeats; extra columns whose names clash with those the operators use.
 SCHEMA = "doc_id long, text string, name string, level int, node long, keep_id string"
+#: Names that operators use or have used for columns of their own.
+CLASHING = ["row", "id", "digest", "key", "n", "o_id", "o_digest", "o_doc_id", "o_t1", "stays", "t1", "t2", "keep", "copies", "copy", "__k_id", "__k_own", "__d_id", "__m_n", "a.b", "a`b", "label", "score", "item", "rate", "Text 2"]
 
 
 @pytest.fixture(scope="session")
@@ -26,3 +28,13 @@ def odd_docs(spark):
 @pytest.fixture(scope="session")
 def no_docs(spark):
     return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="session")
+def clashing_docs(spark):
+    """Documents with columns of every such name, two of each text, and near copies."""
+    words = [f"w{i}" for i in range(80)]
+    texts = [" ".join(words), " ".join(words), " ".join([*words[:-1], "x"]), " ".join(reversed(words)), "short one", "short one", None, ""]
+    fields = ", ".join("`" + c.replace("`", "``") + "` string" for c in CLASHING)
+    rows = [(i, t, *(f"{c} of {i}" for c in CLASHING)) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, f"doc_id long, text string, {fields}").repartition(3)

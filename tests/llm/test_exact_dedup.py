@@ -43,6 +43,28 @@ def test_deduplicated_keeps_columns(odd_docs):
     assert len(texts) == len(set(texts)) == len({lower(r.text) for r in odd_docs.collect()})
 
 
+def test_clashing_names_pass_unchanged(clashing_docs):
+    rows = {r.doc_id: r for r in clashing_docs.collect()}
+    out = exact_dedup.deduplicated(clashing_docs)
+    assert out.columns == clashing_docs.columns
+    got = out.collect()
+    assert sorted(r.doc_id for r in got) == [1, 2, 3, 5, 7] and all(r == rows[r.doc_id] for r in got)
+
+
+def test_repeated_rows_that_differ_elsewhere(spark):
+    rows = [(1, "same", "a"), (1, "SAME", "b"), (1, "same", "a"), (None, "same", "c"), (None, "x", "d"), (None, "x", "e")]
+    kept = {tuple(exact_dedup.deduplicated(spark.createDataFrame(own, "doc_id long, text string, more string").repartition(n)).collect()) for own in (rows, rows[::-1]) for n in (1, 3)}
+    assert len({frozenset(k) for k in kept}) == 1  # the same rows whatever the order
+    assert sorted(t.text.lower() for t in next(iter(kept))) == ["same", "x"]
+
+
+def test_rows_that_repeat_very_often(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "REPEATS", 4)
+    docs = spark.createDataFrame([(7, "a")] * 11 + [(8, "A")] * 4 + [(9, "b")], "doc_id long, text string")
+    got = [(r.doc_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(docs).collect()]
+    assert sorted(got) == sorted([(7, 15, False)] * 11 + [(8, 15, False)] * 3 + [(8, 15, True)] + [(9, 1, True)])
+
+
 def test_empty_table(no_docs):
     assert exact_dedup.exact_groups(no_docs).count() == 0
     assert exact_dedup.deduplicated(no_docs).count() == 0
