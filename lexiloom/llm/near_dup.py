@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import _vector
+from . import _rows, _vector
 from ._components import components
 from ._store import stage
 
@@ -44,14 +44,17 @@ CHUNK_ROWS, CHUNK_SHINGLES = 256, 400_000
 
 
 def banding(threshold: float, recall: float, max_hashes: int) -> tuple[int, int]:
-    """(bands, rows): the most selective banding within max_hashes that finds a pair at the threshold with the target recall."""
-    best = (max_hashes, 1)
+    """(bands, rows): the most selective banding within max_hashes that finds a pair at the threshold with the target recall; an error where none does."""
+    if not 0 < threshold < 1 or not 0 < recall < 1:
+        raise ValueError("threshold and recall are between 0 and 1")
+    fits = []
     for rows in range(1, 30):
-        miss = math.log1p(-(threshold**rows))
-        bands = math.ceil(math.log1p(-recall) / miss)
+        bands = math.ceil(math.log1p(-recall) / math.log1p(-(threshold**rows)))
         if bands * rows <= max_hashes:
-            best = (bands, rows)
-    return best
+            fits.append((bands, rows))
+    if not fits:
+        raise ValueError(f"a recall of {recall} at {threshold} takes {math.ceil(math.log1p(-recall) / math.log1p(-threshold))} hashes or more, not {max_hashes}")
+    return fits[-1]
 
 
 def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,8 +98,8 @@ def signatures(docs: DataFrame, bands: int, rows: int, id_col: str = "doc_id", t
             lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), lists], ["doc_id", "t1", "t2", "digest", "n", "bands"])
 
-    t1, t2 = _text_keys(F.col(text_col))
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), t1.alias("t1"), t2.alias("t2"))
+    t1, t2 = _text_keys(_rows.named(text_col))
+    own = docs.select(_rows.named(id_col).cast("long").alias("doc_id"), _rows.named(text_col).alias("text"), t1.alias("t1"), t2.alias("t2"))
     return own.mapInArrow(run, "doc_id long, t1 long, t2 long, digest binary, n int, bands array<long>")
 
 
@@ -176,15 +179,15 @@ def _classes(docs: DataFrame, threshold: float, recall: float, id_col: str, text
     sets = sets.withColumn("set_id", F.col("one.doc_id"))
     sets = stage(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
     keys = sets.select("node", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("key").alias("k"), "v")
+    shared = stage(keys.groupBy("key").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("key").alias("k"), "v"), "shared-bands")
     ties = keys.join(shared, F.col("key") == F.col("k")).select(F.col("node").alias("u"), "v").where("u <> v").distinct()
     groups = stage(components(ties).join(sets.select("node", "set_id", "copies", "n"), "node"), "groups")
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
-    chunks = sizes.select("root", F.greatest(F.ceil(F.col("c") / CHUNK_ROWS), F.ceil(F.col("s") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
+    chunks = stage(sizes.select("root", F.greatest(F.ceil(F.col("c") / CHUNK_ROWS), F.ceil(F.col("s") / CHUNK_SHINGLES)).cast("int").alias("chunks")), "chunks")
     members = stage(groups.join(chunks, "root").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")), "members")
     # one text of each candidate set, found by its id, or by id and text where ids repeat
     wanted = members.select("node", "root", "chunks", "chunk", "copies", F.col("set_id").alias("w_id"))
-    texts = docs.select(F.col(id_col).cast("long").alias("t_id"), F.col(text_col).alias("text"))
+    texts = docs.select(_rows.named(id_col).cast("long").alias("t_id"), _rows.named(text_col).alias("text"))
     repeated = sig.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
     same = F.col("t_id").eqNullSafe(F.col("w_id"))
     if repeated:
@@ -203,7 +206,7 @@ def _classes(docs: DataFrame, threshold: float, recall: float, id_col: str, text
     roots = components(blocks.select(F.col("node").alias("u"), F.col("anchor").alias("v")))
     nodes = sets.join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     nodes = stage(nodes.select("node", "digest", "set_id", "last", "copies", "root", F.coalesce("n_set_links", F.lit(0)).alias("n_set_links"), (F.coalesce("n_docs", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "nodes")
-    classes = nodes.groupBy("root").agg(F.min("set_id").alias("class_id"), F.max("last").alias("keep"))
+    classes = stage(nodes.groupBy("root").agg(F.min("set_id").alias("class_id"), F.max("last").alias("keep")), "classes")
     named = nodes.join(classes, "root").select("digest", "class_id", F.col("keep.doc_id").alias("keep_id"), "set_id", "n_links", "n_set_links", "keep")
     full = sig.where("digest is not null").select("doc_id", "t1", "t2", "digest").join(named, "digest").drop("digest")
     zero = F.lit(0).cast("long")
@@ -213,16 +216,15 @@ def _classes(docs: DataFrame, threshold: float, recall: float, id_col: str, text
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, shingle: int = SHINGLE) -> DataFrame:
     """The rows of docs that stay: of each class one row, which has the largest id, with docs' columns."""
-    rows, repeated = _classes(docs, threshold, recall, id_col, text_col, shingle)
-    t1, t2 = _text_keys(F.col(text_col))
-    own = {"doc_id": F.col(id_col).cast("long"), "t1": t1, "t2": t2} if repeated else {"doc_id": F.col(id_col).cast("long")}
+    found, repeated = _classes(docs, threshold, recall, id_col, text_col, shingle)
+    t1, t2 = _text_keys(_rows.field(text_col))
+    own = {"doc_id": _rows.field(id_col).cast("long")} | ({"t1": t1, "t2": t2} if repeated else {})
     stays = F.struct("doc_id", "t1", "t2").eqNullSafe(F.col("keep"))
-    by_row = rows.where("n_links > 0").groupBy(*(F.col(c).alias(f"__d_{c}") for c in own)).agg(F.first(stays).alias("__d_stays"), F.count(F.lit(1)).alias("__d_n"))
-    odd = stage(by_row.where("not __d_stays or __d_n > 1"), "dropped")
-    key = functools.reduce(Column.__and__, (v.eqNullSafe(F.col(f"__d_{c}")) for c, v in own.items()))
-    kept = docs.join(odd, key, "left_anti").select(*docs.columns)
-    if not repeated:
-        return kept
-    # equal id and text in several rows, of which one stays
-    one = docs.join(odd.where("__d_stays"), key).dropDuplicates([f"__d_{c}" for c in own]).select(*docs.columns)
-    return kept.unionByName(one)
+    by_row = found.where("n_links > 0").groupBy(*(F.col(c).alias(f"o_{c}") for c in own)).agg(F.first(stays).alias("stays"), F.count(F.lit(1)).alias("n"))
+    odd = stage(by_row.where("not stays or n > 1"), "dropped")
+    rows = _rows.held(docs).withColumns(own)
+    same = functools.reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"o_{c}")) for c in own))
+    kept = rows.join(odd, same, "left_anti").select("row")
+    if repeated:  # equal id and text in several rows, of which one stays
+        kept = kept.unionByName(_rows.one_of(rows.join(odd.where("stays"), same, "left_semi"), *own))
+    return _rows.released(kept)

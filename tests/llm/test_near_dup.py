@@ -102,9 +102,57 @@ def test_components(spark):
     assert {r.node: r.root for r in got} == label
 
 
-def test_banding_reaches_recall():
-    bands, rows = near_dup.banding(0.8, 0.9995, 280)
-    assert bands * rows <= 280 and 1 - (1 - 0.8**rows) ** bands >= 0.9995
+def test_long_chain_is_one_component(spark):
+    n = 3000
+    edges = [((i * 7919) % n, ((i + 1) * 7919) % n) for i in range(n - 1)]
+    got = _components.components(spark.createDataFrame(edges, "u long, v long")).collect()
+    assert len(got) == n and {r.root for r in got} == {0}
+
+
+def test_one_id_with_several_texts(spark):
+    w, u = " ".join(f"w{i}" for i in range(40)), " ".join(f"u{i}" for i in range(40))
+    keep = lambda rows: sorted(near_dup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert keep([(7, w), (9, w), (7, u)]) == [(7, u), (9, w)]
+    assert keep([(7, w), (7, w)]) == [(7, w)]
+
+
+def test_clashing_names_pass_unchanged(clashing_docs):
+    rows = {r.doc_id: r for r in clashing_docs.collect()}
+    for docs in (clashing_docs, clashing_docs.unionAll(clashing_docs.where("doc_id = 4"))):
+        out = near_dup.one_of_each(docs)
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert sorted(r.doc_id for r in got) == [2, 3, 5, 6, 7] and all(r == rows[r.doc_id] for r in got)
+
+
+def test_banding_reaches_recall_or_fails():
+    for threshold, recall, most in ((0.8, 0.9995, 280), (0.5, 0.99, 280), (0.9, 0.999, 64)):
+        bands, rows = near_dup.banding(threshold, recall, most)
+        assert bands * rows <= most and 1 - (1 - threshold**rows) ** bands >= recall
+    with pytest.raises(ValueError):
+        near_dup.banding(0.02, 0.9995, 280)
+
+
+def test_recall_on_a_whole_table(spark):
+    """Every pair of the table's texts at the threshold has a link, held against an inverted index."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = docs.collect()
+    sets = {r.doc_id: s for r, s in zip(rows, _vector.shingle_sets([r.text or "" for r in rows], 5))}
+    inverted = {}
+    for d, own in sets.items():
+        for x in own.tolist():
+            inverted.setdefault(x, []).append(d)
+    common = {}
+    for own in inverted.values():
+        for i, a in enumerate(own):
+            for b in own[:i]:
+                common[a, b] = common.get((a, b), 0) + 1
+    links = dict.fromkeys(sets, 0)
+    for (a, b), n in common.items():
+        if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n):
+            links[a] += 1
+            links[b] += 1
+    assert {r.doc_id: r.n_links for r in near_dup.near_classes(docs).collect()} == links and sum(links.values()) > 20
 
 
 def test_words_and_shingles():
