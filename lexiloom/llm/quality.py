@@ -6,14 +6,18 @@ word triples, shares of capitals and signs). The weights are learned with
 follow-the-regularised-leader updates over a bounded sample, and a text's
 score is the logistic of the sparse dot product of its n-gram shares and them.
 
-Scale: training sees at most `per_class` labelled rows a class; the model is
-one array of 2**BITS floats; scoring is one pass without a shuffle over whole
-texts, vectorised per Arrow batch.
-
-Defined cases: null text counts as empty; an empty text is scored by its
-summary features alone; without training rows of both classes every score is
-that class's prior; repeated rows are scored each; an empty table gives an
-empty result; other columns are not read.
+Scale: training sees at most `per_class` labelled ids a class, one text of each,
+and streams them through one task, in the order of epoch and a hash of the id
+(the updates follow one another by definition); it holds the texts of one batch
+and the model's state, and only the model, one array of 2**BITS floats, goes to
+the driver. Scoring is one pass without a shuffle over whole texts, vectorised
+per Arrow batch.
+
+Defined cases: ids are integers or cast to them; null text counts as empty; an
+empty text is scored by its summary features alone; without training rows every
+score is 0.0 (logistic of -35), with rows of one class only it is the logistic
+of 35 or -35; repeated rows are scored each; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,8 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import _vector
+from . import _rows, _vector
 from ._labels import training_sample
+from ._store import stage
 
 BITS = 18
 PER_CLASS = 3_000
@@ -88,53 +93,60 @@ def _grams(texts: list[str]):
     return np.concatenate(ids), np.concatenate(vals), np.concatenate(docs)
 
 
-def ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS) -> Model:
-    """rows: label, bucket ids, values. Updates in the given order; classes weigh the same."""
-    size = 1 << BITS
-    z, n = np.zeros(size + 1), np.zeros(size + 1)  # the last entry is the bias
-    ones = sum(y for y, _, _ in rows)
-    weight = (0.5 * len(rows) / max(1, len(rows) - ones), 0.5 * len(rows) / max(1, ones))
+class Ftrl:
+    """Follow-the-regularised-leader state of a logistic regression; the last weight is the bias. Classes weigh the same."""
 
-    def leader(i: np.ndarray) -> np.ndarray:
-        zi = z[i]
-        return np.where(np.abs(zi) <= L1, 0.0, (np.sign(zi) * L1 - zi) / ((BETA + np.sqrt(n[i])) / ALPHA + L2))
+    def __init__(self, clean: int, good: int):
+        self.z, self.n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
+        rows = clean + good
+        self.weight = (0.5 * rows / max(1, clean), 0.5 * rows / max(1, good))
 
-    for _ in range(epochs):
-        for y, i, v in rows:
-            i, v = np.append(i, size), np.append(v, 1.0)
-            w = leader(i)
-            p = 1 / (1 + np.exp(-np.clip(w @ v, -35, 35)))
-            g = (p - y) * weight[y] * v
-            sigma = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / ALPHA
-            z[i] += g - sigma * w
-            n[i] += g * g
-    w = leader(np.arange(size + 1))
-    return Model(w[:size].astype(np.float32), float(w[size]))
+    def leader(self, i) -> np.ndarray:
+        z = self.z[i]
+        return np.where(np.abs(z) <= L1, 0.0, (np.sign(z) * L1 - z) / ((BETA + np.sqrt(self.n[i])) / ALPHA + L2))
 
+    def update(self, y: int, ids: np.ndarray, vals: np.ndarray) -> None:
+        """One example: distinct buckets and their values."""
+        i, v = np.append(ids, 1 << BITS), np.append(vals, 1.0)
+        w = self.leader(i)
+        g = (1 / (1 + np.exp(-np.clip(w @ v, -35, 35))) - y) * self.weight[y] * v
+        sigma = (np.sqrt(self.n[i] + g * g) - np.sqrt(self.n[i])) / ALPHA
+        self.z[i] += g - sigma * w
+        self.n[i] += g * g
 
-def fit(docs: DataFrame, labelled: DataFrame, label_col: str = "quality", per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fits on a bounded sample of labelled rows."""
 
-    def features(batches):
+def _examples(texts: list[str]):
+    """Buckets and summed values of each text."""
+    for a, b in _vector.batches(texts):
+        ids, vals, doc = _grams(texts[a:b])
+        key, back = np.unique(doc.astype(np.int64) << BITS | ids, return_inverse=True)
+        val = np.bincount(back, vals, len(key))
+        cut = np.searchsorted(key >> BITS, np.arange(b - a + 1))
+        for k in range(b - a):
+            own = slice(cut[k], cut[k + 1])
+            yield key[own] & ((1 << BITS) - 1), val[own]
+
+
+def fit(docs: DataFrame, labelled: DataFrame, label_col: str = "quality", per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", epochs: int = EPOCHS) -> Model:
+    """Fits on a bounded sample of labelled rows."""
+    sample = stage(training_sample(docs, labelled, label_col, per_class, id_col, text_col), "quality-sample")
+    sizes = {int(r[0]): int(r[1]) for r in sample.groupBy("label").count().collect()}  # two rows
+    clean, good = sizes.get(0, 0), sizes.get(1, 0)
+    if not clean or not good:
+        return Model(np.zeros(1 << BITS, np.float32), 35.0 if good else -35.0)
+
+    def train(batches):
+        state = Ftrl(clean, good)
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for a, b in _vector.batches(texts):
-                ids, vals, doc = _grams(texts[a:b])
-                key, back = np.unique(doc.astype(np.int64) << BITS | ids, return_inverse=True)
-                val = np.bincount(back, vals, len(key)).astype(np.float32)
-                cut = np.searchsorted(key >> BITS, np.arange(b - a + 1))
-                own = (key & ((1 << BITS) - 1)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(c)) for c in (own, val)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *lists], ["doc_id", "label", "ids", "vals"])
-
-    sample = training_sample(docs, labelled, label_col, per_class, id_col, text_col)
-    found = sample.mapInArrow(features, "doc_id long, label int, ids array<int>, vals array<float>").toArrow()  # at most 2 * per_class rows
-    order = sorted(range(found.num_rows), key=lambda k, i=found["doc_id"].to_pylist(): hash((i[k], 7)))
-    ids, vals, labels = found["ids"].combine_chunks(), found["vals"].combine_chunks(), found["label"].to_pylist()
-    rows = [(labels[k], ids[k].values.to_numpy(zero_copy_only=False), vals[k].values.to_numpy(zero_copy_only=False).astype(float)) for k in order]
-    if len({y for y, _, _ in rows}) < 2:
-        return Model(np.zeros(1 << BITS, np.float32), 35.0 if labels and labels[0] else -35.0)
-    return ftrl(rows)
+            for y, (ids, vals) in zip(batch.column(0).to_pylist(), _examples(batch.column(1).to_pylist())):
+                state.update(y, ids, vals)
+        w = state.leader(slice(None))
+        yield pa.RecordBatch.from_arrays([pa.array([w[:-1].astype("<f4").tobytes()], pa.binary()), pa.array([float(w[-1])])], ["weights", "bias"])
+
+    turns = sample.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
+    ordered = turns.repartition(1).sortWithinPartitions("epoch", F.xxhash64("doc_id", F.lit(7)), "doc_id")  # at most 2 * per_class texts, each `epochs` times
+    weights, bias = ordered.select("label", "text").mapInArrow(train, "weights binary, bias double").first()
+    return Model(np.frombuffer(weights, "<f4"), bias)
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,4 +163,4 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             s = np.concatenate(out) if out else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.select(_rows.named(id_col).cast("long").alias("doc_id"), _rows.named(text_col).alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
