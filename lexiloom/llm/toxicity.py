@@ -10,11 +10,13 @@ segments found there) turn a segment's score into an E-value for the length of
 its text; the significant segments of a document are summed, and a logistic
 curve over that sum gives the document's score.
 
-Scale: the model is fitted on at most `per_class` labelled rows a class (near
-copies in it count once) and is bounded by `max_tokens` rows; scoring is one
-pass without a shuffle, whole texts, vectorised per Arrow batch.
+Scale: the model is fitted on at most `per_class` labelled ids a class, one text
+of each (near copies among them count once); it has the significant tokens of
+that sample, all of them, and its statistics of clean text are a histogram; scoring
+is one pass without a shuffle, whole texts, vectorised per Arrow batch, in time
+linear in the words.
 
-Defined cases: null text counts as empty; an empty text has no segment and the
+Defined cases: ids are integers or cast to them; null text counts as empty; an empty text has no segment and the
 lowest score; without toxic training rows all scores are 0; repeated rows are
 scored each; an empty table gives an empty result; `without_toxic` keeps all
 columns of its input, whatever their names.
@@ -30,13 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import _vector
+from . import _rows, _vector
 from ._labels import training_sample
 from ._store import stage
 
 PREFIXES = (4, 5, 6)
 PER_CLASS = 8_000
-MAX_TOKENS = 65_536
+#: Segment scores of clean text are counted in steps of 1 / SCORE_STEPS.
+SCORE_STEPS = 64
 #: Prior documents; log-odds are bounded by LIMIT; share of toxic words in a toxic passage; E-value of a significant segment.
 PRIOR, LIMIT, DENSITY, SIGNIFICANT = 50.0, 9.0, 0.15, 0.01
 
@@ -67,23 +70,31 @@ def _word_scores(w: _vector.Words, keys: np.ndarray, scores: np.ndarray) -> np.n
 
 
 def maximal_segments(at: list[int], score: list[float], drift: float) -> list[tuple[int, int, float]]:
-    """All maximal-scoring segments (first, last position, score) of a sequence that scores `score` at the positions `at` and -drift elsewhere."""
-    stack: list[list[float]] = []  # first, last, total before, total after
+    """All maximal-scoring segments (first, last position, score) of a sequence that scores `score` at the positions `at` and -drift elsewhere.
+
+    Linear in the positions: where no candidate begins lower, all are final and
+    leave the stack; else each candidate keeps the place of the nearest one that
+    does, and a later search jumps over what lies between.
+    """
+    done: list[tuple[int, int, float]] = []
+    stack: list[tuple[int, int, float, float, int]] = []  # first, last, total before, total after, nearest candidate that begins lower
     total, previous = 0.0, None
     for p, s in zip(at, score):
         before = total - (drift * (p - previous - 1) if previous is not None else 0.0)
         total, previous = before + s, p
         first, left, right = p, before, total
-        while True:
-            j = len(stack) - 1
-            while j >= 0 and stack[j][2] >= left:
-                j -= 1
-            if j < 0 or stack[j][3] >= right:
-                stack.append([first, p, left, right])
-                break
-            first, left = stack[j][0], stack[j][2]
+        j = len(stack) - 1
+        while j >= 0 and stack[j][2] >= left:
+            j = stack[j][4]
+        while j >= 0 and stack[j][3] < right:  # the candidate takes in all from the jth on
+            first, _, left, _, lower = stack[j]
             del stack[j:]
-    return [(int(a), int(b), r - l) for a, b, l, r in stack]
+            j = lower
+        if j < 0:
+            done += [(a, b, r - l) for a, b, l, r, _ in stack]
+            stack = []
+        stack.append((first, p, left, right, j))
+    return done + [(a, b, r - l) for a, b, l, r, _ in stack]
 
 
 def _scan(texts: list[str], keys: np.ndarray, scores: np.ndarray, drift: float):
@@ -111,7 +122,7 @@ def _statistic(n: int, found: list[tuple[int, int, float]], m: Model) -> tuple[f
     return sum(good), len(good), 1.0 if top is None else -math.expm1(-math.exp(min(50.0, -top)))
 
 
-def fit(docs: DataFrame, labelled: DataFrame, label_col: str = "toxic", per_class: int = PER_CLASS, max_tokens: int = MAX_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def fit(docs: DataFrame, labelled: DataFrame, label_col: str = "toxic", per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fits on a bounded sample of labelled rows."""
     sample = stage(training_sample(docs, labelled, label_col, per_class, id_col, text_col), "toxic-sample")
 
@@ -161,7 +172,7 @@ def fit(docs: DataFrame, labelled: DataFrame, label_col: str = "toxic", per_clas
     both = (F.col("t") + F.col("c")) / float(clean + toxic)
     part = lambda y, n: F.when(F.col(y) > 0, F.col(y) * F.log(F.col(y) / (both * n))).otherwise(0.0)
     ranked = table.withColumn("score", F.least(F.lit(LIMIT), odds("t", float(toxic)) - odds("c", float(clean)))).withColumn("g", 2 * (part("t", float(toxic)) + part("c", float(clean))))
-    top = ranked.where((F.col("score") > 1.0) & (F.col("g") >= 2 * math.log(tried))).orderBy(F.desc("g"), "token").limit(max_tokens).select("token", "score").collect()
+    top = ranked.where((F.col("score") > 1.0) & (F.col("g") >= 2 * math.log(tried))).select("token", "score").collect()  # significant tokens of the bounded sample
     pairs = sorted((int(r[0]) & (2**64 - 1), float(r[1])) for r in top)
     model.keys, model.scores = np.array([p[0] for p in pairs], np.uint64), np.array([p[1] for p in pairs])
     if not pairs:
@@ -169,26 +180,34 @@ def fit(docs: DataFrame, labelled: DataFrame, label_col: str = "toxic", per_clas
     # extreme-value parameters from the clean documents, then the logistic curve
     keys, scores = model.keys, model.scores
 
-    def scanned(batches):
+    def clean_segments(batches):
         for batch in batches:
-            labels = batch.column(1).to_pylist()
-            got = [(y, n, [s[2] for s in found]) for y, (n, found) in zip(labels, _scan(batch.column(2).to_pylist(), keys, scores, drift))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), (pa.int32(), pa.int64(), pa.list_(pa.float64())))], ["label", "n", "segments"])
-
-    rows = [(int(r[0]), int(r[1]), [(0, 0, v) for v in r[2]]) for r in train.mapInArrow(scanned, "label int, n long, segments array<double>").collect()]  # at most 2 * per_class
-    null_words = sum(n for y, n, _ in rows if not y) + 1
-    null_scores = [v for y, _, f in rows if not y for _, _, v in f] + [float(np.median(scores))]
-    share = len(null_scores) / null_words
+            found = list(_scan(batch.column(0).to_pylist(), keys, scores, drift))
+            steps = [round(v * SCORE_STEPS) for _, own in found for _, _, v in own]
+            yield pa.RecordBatch.from_arrays([pa.array([-1, *steps], pa.int64()), pa.array([sum(n for n, _ in found), *([1] * len(steps))], pa.int64())], ["step", "n"])
+
+    # a row for each step of the score that clean segments reach; -1 counts words
+    held = train.where("label = 0").select("text").mapInArrow(clean_segments, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).collect()
+    null_words = sum(int(r[1]) for r in held if r[0] == -1) + 1
+    level = np.array([r[0] / SCORE_STEPS for r in held if r[0] >= 0] + [float(np.median(scores))])
+    times = np.array([float(r[1]) for r in held if r[0] >= 0] + [1.0])
+    share = float(times.sum()) / null_words
     low, high = 1e-6, 60.0
     for _ in range(100):  # lambda: the positive root of E[exp(lambda s)] = 1 over clean text
         mid = (low + high) / 2
-        mean = share * float(np.mean(np.exp(np.minimum(700.0, mid * np.array(null_scores))))) + (1 - share) * math.exp(-mid * drift)
+        mean = share * float(np.average(np.exp(np.minimum(700.0, mid * level)), weights=times)) + (1 - share) * math.exp(-mid * drift)
         low, high = (mid, high) if mean < 1 else (low, mid)
     model.lam = low
     floor = float(scores.min())
-    model.k = max(1e-9, len(null_scores) / (null_words * math.exp(-low * floor)))
-    x = np.log1p(np.array([_statistic(n, f, model)[0] for _, n, f in rows]))
-    y = np.array([r[0] for r in rows], float)
+    model.k = max(1e-9, float(times.sum()) / (null_words * math.exp(-low * floor)))
+
+    def totals(batches):
+        for batch in batches:
+            own = [_statistic(n, found, model)[0] for n, found in _scan(batch.column(1).to_pylist(), keys, scores, drift)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.float64())], ["label", "total"])
+
+    rows = train.select("label", "text").mapInArrow(totals, "label int, total double").collect()  # at most 2 * per_class pairs of numbers
+    y, x = np.array([float(r[0]) for r in rows]), np.log1p(np.array([r[1] for r in rows]))
     a, b = 1.0, -1.0
     for _ in range(50):  # Newton steps of a logistic regression in one variable, with a small ridge
         p = 1 / (1 + np.exp(-(a * x + b)))
@@ -219,18 +238,20 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             cols = [pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", "score", "predicted", "n_words", "n_segments", "p_value", "passages"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(_rows.named(id_col).cast("long").alias("doc_id"), _rows.named(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of docs whose text is not predicted toxic, with all their columns."""
+    at = docs.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
-            at = batch.schema.get_field_index(text_col)
+            texts = batch.column(0).field(at).to_pylist()
             keep = []
-            for n, found in _scan([t or "" for t in batch.column(at).to_pylist()], model.keys, model.scores, model.drift):
+            for n, found in _scan([t or "" for t in texts], model.keys, model.scores, model.drift):
                 keep.append(model.offset <= -60 or model.slope * math.log1p(_statistic(n, found, model)[0]) + model.offset < 0)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    rows = _rows.held(docs)
+    return _rows.released(rows.mapInArrow(run, rows.schema))
