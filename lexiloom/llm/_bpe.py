@@ -2,8 +2,9 @@
 
 Texts are cut into pre-tokens by array operations; each distinct pre-token of a
 batch is encoded once by the tokenizer library and kept in a bounded cache, and
-the ids of whole documents are gathered from there. Strings of special tokens
-inside a text are ordinary text.
+the ids of whole documents are gathered from there. As the library does by
+default, the strings of added tokens inside a text (`<|endoftext|>`) become those
+tokens; what stands between them is cut into pre-tokens on its own.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import functools
 import itertools
 import json
 import os
+import re
 import unicodedata
 
 import numpy as np
@@ -86,7 +88,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
-        self._tok.encode_special_tokens = True
+        added = json.load(open(path, encoding="utf-8")).get("added_tokens") or []
+        if any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens that take in what stands beside them are not supported")
+        self._added = {t["content"]: t["id"] for t in added}
+        self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")") if added else None
         self._spans = spans
         self._merge = None if spans else _merger(path)
         self._reset()
@@ -103,7 +109,7 @@ class Encoder:
         new = [w for w in words if w not in self._slot]
         if new:
             if self._merge:
-                ids = list(map(self._merge, new))
+                ids = [[self._added[w]] if w in self._added else self._merge(w) for w in new]
             else:
                 coded = self._tok.encode_batch(new, add_special_tokens=False)
                 ids = [c.ids for c in coded]
@@ -125,14 +131,19 @@ class Encoder:
         from and to are the code-point span of each id within its own text.
         """
         for a, b in _vector.batches(texts):
-            part = texts[a:b]
+            # segments: texts, cut at added tokens, which are segments of their own
+            part, first_of, added = self._segments(texts[a:b])
             joined = "\n".join(part) + "\n"
             raw = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
             lens = np.fromiter((len(t) + 1 for t in part), np.int64, len(part))
-            doc_end = np.cumsum(lens) - 1
+            seg_end = np.cumsum(lens) - 1
+            seg_start = seg_end - lens + 1
             kind = _classes()[raw]
-            kind[doc_end] = _END
-            st = np.flatnonzero(_starts(raw, kind))
+            kind[seg_end] = _END
+            begins = _starts(raw, kind)
+            for k in added:
+                begins[seg_start[k] + 1 : seg_end[k]] = False
+            st = np.flatnonzero(begins)
             word = kind[st] != _END
             start, end = st[word], np.append(st[1:], len(raw))[word]
             power, inverse = _vector._grow(len(raw))
@@ -144,15 +155,31 @@ class Encoder:
             count = self._len[slot]
             before = np.cumsum(count) - count
             take = np.repeat(self._off[slot] - before, count) + np.arange(int(count.sum()))
-            doc_first = np.searchsorted(start, np.append(doc_end - lens + 1, len(raw)))
-            bounds = np.append(before, count.sum())[doc_first]
+            doc_start = np.append(seg_start, len(raw))[first_of]
+            bounds = np.append(before, count.sum())[np.searchsorted(start, doc_start)]
             ids = self._ids[take]
             if spans:
-                base = np.repeat(start, count) - np.repeat(doc_end - lens + 1, np.diff(bounds))
+                # a place in a text: its place in the slice less the text's start and the end marks of earlier segments of the text
+                of = np.searchsorted(seg_start, start, side="right") - 1
+                doc = np.searchsorted(first_of, of, side="right") - 1
+                base = np.repeat(start - doc_start[doc] - (of - first_of[doc]), count)
                 yield a, ids, bounds, base + self._from[take], base + self._to[take]
             else:
                 yield a, ids, bounds
 
+    def _segments(self, texts: list[str]) -> tuple[list[str], np.ndarray, list[int]]:
+        """Segments, the first one of each text (and their number), and which are added tokens."""
+        if not self._added or not any(s in t for t in texts for s in self._added):
+            return texts, np.arange(len(texts) + 1), []
+        part, first_of, added = [], [0], []
+        for t in texts:
+            for k, s in enumerate(self._cut.split(t)):  # every second one is an added token
+                if k % 2:
+                    added.append(len(part))
+                part.append(s)
+            first_of.append(len(part))
+        return part, np.array(first_of), added
+
 
 @functools.lru_cache(maxsize=4)
 def encoder(path: str, spans: bool = True) -> Encoder:

@@ -13,9 +13,9 @@ numbers a piece) is written, then ranked by windows over (length, chunk) where
 the number of chunks follows the number of pieces, so that one common length
 does not land in one task. The table that is broadcast has at most a few rows
 for each length and pattern. Sequences are padded to `capacity`, except where
-their total is a power of two.
+their total is a power of two, which stays as it is: `padded` says to what.
 
-Defined cases: null text is empty (one end token); repeated rows are packed
+Defined cases: ids are integers or cast to them; null text is empty (one end token); repeated rows are packed
 each; an empty table gives an empty result; other columns are not read.
 """
 
@@ -25,9 +25,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import _rows
 from ._bpe import encoder
 from ._cutting import plan
 from ._store import stage
@@ -56,11 +57,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
                 at, *rest = zip(*rows)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, pa.int64()) for c in rest)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
+    return docs.select(_rows.named(id_col).cast("long").alias("doc_id"), _rows.named(text_col).alias("text")).mapInArrow(run, PIECES)
 
 
 def packed(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", unit: int = UNIT) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_tokens, padded."""
     spark = docs.sparkSession
     cut = stage(pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col).withColumn("class", F.ceil(F.col("length") / unit)), "pieces")
     histogram = sorted(tuple(r) for r in cut.groupBy("class").count().collect())  # at most capacity / unit rows
@@ -83,5 +84,11 @@ def packed(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     hit = (F.col("class") == F.col("slot_class")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
     own = F.col("rank") - F.col("low")
     placed = ranked.join(F.broadcast(slots), hit).withColumn("sequence_id", F.col("base") + F.floor(own / F.col("copies"))).withColumn("copy", own % F.col("copies"))
-    running = F.sum("length").over(Window.partitionBy("sequence_id").orderBy("at", "copy"))
-    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", (running - F.col("length")).alias("offset"))
+    sequence = Window.partitionBy("sequence_id")
+    rows = placed.withColumn("offset", F.sum("length").over(sequence.orderBy("at", "copy")) - F.col("length")).withColumn("sequence_tokens", F.sum("length").over(sequence))
+    return rows.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_tokens", padded(F.col("sequence_tokens"), capacity).alias("padded"))
+
+
+def padded(tokens: Column, capacity: int) -> Column:
+    """The length to which a sequence of so many tokens is padded."""
+    return F.when(F.bit_count(tokens) == 1, tokens).otherwise(F.lit(capacity).cast("long"))

@@ -9,7 +9,7 @@ its characters, the earlier at a tie). So the counts of a document's sections
 add up to its tokens.
 
 Scale: one pass without a shuffle; a worker holds one Arrow batch and a bounded
-cache. Defined cases: null text counts as empty; an empty text has one empty
+cache. Defined cases: ids are integers or cast to them; null text counts as empty; an empty text has one empty
 section with 0 tokens; repeated rows are counted each; an empty table gives an
 empty result; other columns are not read. Very long texts are encoded whole.
 """
@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _rows
 from ._bpe import encoder
 
 SCHEMA = "doc_id long, section int, start int, end int, n_tokens int, doc_tokens int"
@@ -70,4 +71,4 @@ def section_token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "do
                     [ids.take(pa.array(rows, pa.int64())), *(pa.array(np.concatenate(c).astype(np.int32)) for c in cols)], ["doc_id", "section", "start", "end", "n_tokens", "doc_tokens"]
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(_rows.named(id_col).cast("long").alias("doc_id"), _rows.named(text_col).alias("text")).mapInArrow(run, SCHEMA)

@@ -14,15 +14,13 @@ from lexiloom.llm.queries import tokenizer_file  # noqa: E402
 
 @pytest.fixture(scope="module")
 def tok():
-    t = Tokenizer.from_file(tokenizer_file())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokenizer_file())
 
 
 def odd_texts(n=1500):
     rnd = random.Random(3)
     signs = "ab's'tlrevem d  \n\t\r.,!é日本  1२٣_-\U0001f600​\x1c\x85 <|endoftext|>'"
-    return ["".join(rnd.choice(signs) for _ in range(rnd.randint(0, 40))) for _ in range(n)] + ["", " ", "\n\n", "it's we'll I'LL 'tis x' 's"]
+    return ["".join(rnd.choice(signs) for _ in range(rnd.randint(0, 40))) for _ in range(n)] + ["", " ", "\n\n", "it's we'll I'LL 'tis x' 's", "hello <|endoftext|> there", "<|endoftext|>", "<|endoftext|><|endoftext|> ", "a  <|endoftext|>  b's<|endoftext|>'s", "<|endoftext|", "x <|<|endoftext|>|>"]
 
 
 @pytest.mark.parametrize("spans", [True, False])
