@@ -1,102 +1,145 @@
 """Chat formatting by schema fingerprints (DataFrame operations only).
 
 A record is a JSON string in any of several layouts (messages, conversations,
-prompt and response, instruction and input, a list of questions and answers).
-Its nested field paths, without types and order, are hashed to a schema
-fingerprint, which selects a declarative mapping; mappings say where the turns
-are. A template writes the canonical turns into one string and gives the spans
-under the loss mask. Control strings inside texts are escaped by a backslash,
-reversibly; `turns_of` reads a formatted string back.
+turns, nested chats, prompt and response, instruction and input, lists of
+questions and answers). Its nested field paths, of any depth and without types
+and order, are read from the schema of the parsed record; those that any mapping
+names make its fingerprint, and their hashes select a declarative mapping, which
+says where the turns are: the one that needs the most of them, the earlier
+declared at a tie. Fields that no mapping names change nothing. A template writes
+the canonical turns into one string and gives the spans under the loss mask.
+Control strings inside texts are escaped by a backslash, reversibly; `turns_of`
+reads a formatted string back.
 
 Template: every turn is `### Role: text </turn>` and a line feed. Escapes, in a
 text: a backslash, `###` and `</turn>` get a backslash before them; in a role,
 a colon is written `\\c`, too.
 
 Scale: records of one conversation are the unit and are gathered by its id
-(one shuffle); offsets are running sums of a window on the same partitioning.
+(one shuffle); offsets are running sums of a window on the same partitioning. A
+mapping is chosen within the row, without a join, so that one layout of all
+records is no hot key.
 
 Defined cases: null text is empty and a null role is an empty role; a null
 conversation id is a conversation; rows with one turn number are ordered by
-role and text; repeated rows are turns of their own; an unknown fingerprint
-gives no turns and the mapping name null; an empty table gives an empty result;
-other columns are not read.
+role and text; repeated rows are turns of their own; a record that no mapping
+fits (an unknown layout, no JSON, a repeated key, null, lists of mixed types, a
+record over the 128 MB that the parser takes) has the mapping
+null, turns null and a null formatted string, a known one without turns an empty
+string; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 END = "</turn>"
 LOSS_ROLES = ("assistant",)
 #: What layouts with names of their own call the roles.
 ROLE_NAMES = {"human": "user", "gpt": "assistant"}
-#: Declarative mappings: name, field paths, and the turns as role and JSON path (a list path has [*]).
-MAPPINGS = {
-    "messages": (("messages[].role", "messages[].content"), ("messages", "role", "content")),
-    "conversations": (("conversations[].from", "conversations[].value"), ("conversations", "from", "value")),
-    "turns": (("turns[].role", "turns[].text"), ("turns", "role", "text")),
-    "prompt_response": (("prompt", "response"), (("user", "prompt"), ("assistant", "response"))),
-    "prompt_completion": (("prompt", "completion"), (("user", "prompt"), ("assistant", "completion"))),
-    "instruction": (("instruction", "output"), (("user", "instruction"), ("assistant", "output"))),
-    "instruction_input": (("instruction", "input", "output"), (("user", "instruction"), ("user", "input"), ("assistant", "output"))),
-    "system_question": (("system", "question", "answer"), (("system", "system"), ("user", "question"), ("assistant", "answer"))),
+#: Declarative mappings: either fields, as (role, path) in order, or a list's path with its elements' fields: (role field, text field), or again [(role, field), ...].
+MAPPINGS: dict[str, list | tuple] = {
+    "messages": ("messages", ("role", "content")),
+    "conversations": ("conversations", ("from", "value")),
+    "turns": ("turns", ("role", "text")),
+    "nested_chat": ("chat.messages", ("role", "content")),
+    "questions": ("qa", [("user", "question"), ("assistant", "answer")]),
+    "prompt_response": [("user", "prompt"), ("assistant", "response")],
+    "prompt_completion": [("user", "prompt"), ("assistant", "completion")],
+    "instruction": [("user", "instruction"), ("assistant", "output")],
+    "instruction_input": [("user", "instruction"), ("user", "input"), ("assistant", "output")],
+    "question": [("user", "question"), ("assistant", "answer")],
+    "system_question": [("system", "system"), ("user", "question"), ("assistant", "answer")],
 }
 
 
-def paths_of(record: Column) -> Column:
-    """Sorted nested field paths of a JSON object (two levels; lists of objects count by the fields of their elements)."""
-    keys = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
-    elements = lambda k: F.from_json(F.call_function("get_json_object", record, F.concat(F.lit("$."), k)), "array<string>")
+def needed(mapping: str) -> list[str]:
+    """The field paths that a mapping needs."""
+    where = MAPPINGS[mapping]
+    if isinstance(where, list):
+        return sorted(path for _, path in where)
+    fields = [f for _, f in where[1]] if isinstance(where[1], list) else where[1]
+    return sorted(f"{where[0]}[].{f}" for f in fields)
 
-    def nested(k: Column) -> Column:
-        inner = F.array_distinct(F.flatten(F.transform(F.coalesce(elements(k), F.array().cast("array<string>")), lambda e: F.coalesce(F.json_object_keys(e), F.array().cast("array<string>")))))
-        return F.when(F.size(inner) > 0, F.transform(inner, lambda i: F.concat(k, F.lit("[]."), i))).otherwise(F.array(k))
 
-    return F.array_sort(F.flatten(F.transform(keys, nested)))
+KNOWN = sorted({p for m in MAPPINGS for p in needed(m)})
+_NAME = r"`[^`]*+(?:``[^`]*+)*+`"
+_TOKEN = rf"{_NAME}: |[A-Za-z_][A-Za-z0-9_]*: |OBJECT<>|OBJECT<|ARRAY<|>|[A-Z][A-Z_]*(?:\([0-9, ]*\))?"
+
+
+def paths_of(record: Column, known: list[str] = KNOWN) -> Column:
+    """Sorted nested field paths of a JSON object that are among the known ones; `[]` stands for a list's elements."""
+    schema = F.schema_of_variant(F.try_parse_json(record))
+    some = F.array(*map(F.lit, known))
+
+    def step(acc: Column, t: Column) -> Column:
+        top = F.element_at(acc["open"], -1)
+        name = F.replace(F.btrim(F.substr(t, F.lit(1), F.length(t) - 2), F.lit("`")), F.lit("``"), F.lit("`"))
+        is_name, opens, lists = F.endswith(t, F.lit(": ")), t == "OBJECT<", t == "ARRAY<"
+        at = F.when(is_name, F.concat(top, name)).when(lists, F.concat(acc["at"], F.lit("[]"))).otherwise(acc["at"])
+        inner = F.when(acc["at"] == "", F.lit("")).otherwise(F.concat(acc["at"], F.lit(".")))
+        stack = F.when(opens, F.concat(acc["open"], F.array(inner))).when(lists, F.concat(acc["open"], F.array(F.lit("")))).when(t == ">", F.slice(acc["open"], 1, F.size(acc["open"]) - 1)).otherwise(acc["open"])
+        leaf = ~(is_name | opens | lists | (t == ">"))
+        out = F.when(leaf & F.array_contains(some, at) & ~F.array_contains(acc["out"], at), F.concat(acc["out"], F.array(at))).otherwise(acc["out"])
+        return F.struct(at.alias("at"), stack.alias("open"), out.alias("out"))
+
+    start = F.struct(F.lit("").alias("at"), F.array(F.lit("")).alias("open"), F.array().cast("array<string>").alias("out"))
+    tokens = F.regexp_extract_all(F.coalesce(schema, F.lit("")), F.lit(_TOKEN), F.lit(0))
+    return F.array_sort(F.aggregate(tokens, start, step)["out"])
 
 
 def fingerprint(paths: Column) -> Column:
     return F.xxhash64(F.concat_ws("\n", paths))
 
 
-def mapping_table(spark: SparkSession) -> DataFrame:
-    """fingerprint, mapping: as many rows as there are mappings."""
-    rows = [(name, sorted(paths)) for name, (paths, _) in MAPPINGS.items()]
-    return spark.createDataFrame(rows, "mapping string, paths array<string>").select(fingerprint(F.array_sort("paths")).alias("fingerprint"), "mapping")
+def mapping_of(paths: Column) -> Column:
+    """The mapping whose paths' hashes are all among the record's: the one with the most, the earlier at a tie; null where there is none."""
+    hashes = F.transform(paths, lambda p: F.xxhash64(p))
+    out = F.lit(None).cast("string")
+    for name in sorted(reversed(MAPPINGS), key=lambda m: len(needed(m))):  # later ones go before
+        out = F.when(F.size(F.array_except(F.array(*(F.xxhash64(F.lit(p)) for p in needed(name))), hashes)) == 0, name).otherwise(out)
+    return out
+
 
+def _role(name: Column) -> Column:
+    for own, canonical_name in ROLE_NAMES.items():
+        name = F.when(name == own, canonical_name).otherwise(name)
+    return name
 
-def _turn(role: str, text: str):
-    def turn(m: Column) -> Column:
-        name = m[role]
-        if role == "from":
-            for own, canonical_name in ROLE_NAMES.items():
-                name = F.when(m[role] == own, canonical_name).otherwise(name)
-        return F.struct(name.alias("role"), m[text].alias("text"))
 
-    return turn
+def _fields(cells: list[tuple[str, Column]]) -> Column:
+    """Turns from fields of fixed roles, without those that are null."""
+    return F.filter(F.array(*(F.struct(F.lit(role).alias("role"), cell.alias("text")) for role, cell in cells)), lambda m: m["text"].isNotNull())
 
 
 def canonical_turns(record: Column, mapping: Column) -> Column:
     """array<struct<role, text>> of a record under its mapping; null for an unknown one."""
     out = F.lit(None).cast("array<struct<role:string,text:string>>")
-    for name, (_, where) in MAPPINGS.items():
-        if isinstance(where[0], str):
-            field, role, text = where
-            parsed = F.from_json(record, f"struct<`{field}`:array<struct<`{role}`:string,`{text}`:string>>>")[field]
-            turns = F.transform(parsed, _turn(role, text))
+    for name, where in MAPPINGS.items():
+        if isinstance(where, list):
+            turns = _fields([(role, F.get_json_object(record, f"$.{f}")) for role, f in where])
         else:
-            turns = F.array(*(F.struct(F.lit(r).alias("role"), F.get_json_object(record, f"$.{f}").alias("text")) for r, f in where))
-            turns = F.filter(turns, lambda m: m["text"].isNotNull())
+            path, cells = where[0].split("."), where[1]
+            names = [f for _, f in cells] if isinstance(cells, list) else cells
+            kind = "array<struct<" + ",".join(f"`{n}`:string" for n in names) + ">>"
+            for part in reversed(path):
+                kind = f"struct<`{part}`:{kind}>"
+            parsed = F.from_json(record, kind)
+            for part in path:
+                parsed = parsed[part]
+            if isinstance(cells, list):
+                turns = F.flatten(F.transform(parsed, lambda m: _fields([(role, m[f]) for role, f in cells])))
+            else:
+                turns = F.transform(parsed, lambda m: F.struct((_role(m[cells[0]]) if cells[0] == "from" else m[cells[0]]).alias("role"), m[cells[1]].alias("text")))
         out = F.when(mapping == name, turns).otherwise(out)
     return out
 
 
 def canonical(records: DataFrame, record_col: str = "record") -> DataFrame:
     """records with fingerprint, mapping and turns."""
-    spark = records.sparkSession
-    keyed = records.withColumn("fingerprint", fingerprint(paths_of(F.col(record_col))))
-    known = keyed.join(F.broadcast(mapping_table(spark)), "fingerprint", "left")
+    read = records.withColumn("paths", paths_of(F.col(record_col)))
+    known = read.withColumn("fingerprint", fingerprint(F.col("paths"))).withColumn("mapping", mapping_of(F.col("paths"))).drop("paths")
     return known.withColumn("turns", canonical_turns(F.col(record_col), F.col("mapping")))
 
 
@@ -106,8 +149,15 @@ def escape(text: Column) -> Column:
     return text
 
 
-def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, r"\\(\\|###|</turn>)", "$1")
+def unescape(text: Column, *marks: tuple[str, str]) -> Column:
+    """Pairs of backslashes are read from the left, as they were written; what is left of them begins an escape."""
+
+    def plain(part: Column) -> Column:
+        for written, mark in (("\\###", "###"), ("\\" + END, END), *marks):
+            part = F.replace(part, F.lit(written), F.lit(mark))
+        return part
+
+    return F.array_join(F.transform(F.split(text, r"\\\\", -1), plain), "\\")
 
 
 def escape_role(role: Column) -> Column:
@@ -115,8 +165,7 @@ def escape_role(role: Column) -> Column:
 
 
 def unescape_role(role: Column) -> Column:
-    # a colon's escape is told from an escaped backslash before a c by reading from the left
-    return F.regexp_replace(F.regexp_replace(role, r"\G((?:[^\\]|\\\\|\\###|\\</turn>)*?)\\c", "$1:"), r"\\(\\|###|</turn>)", "$1")
+    return unescape(role, ("\\c", ":"))
 
 
 def formatted(conversations: DataFrame) -> DataFrame:
@@ -127,15 +176,15 @@ def formatted(conversations: DataFrame) -> DataFrame:
         head = F.concat(F.lit("### "), escape_role(role), F.lit(": "))
         return F.struct(head.alias("head"), escape(text).alias("body"), role.isin(*LOSS_ROLES).alias("loss"))
 
-    pieces = conversations.select("conv_id", F.posexplode_outer(F.transform("turns", piece)).alias("at", "p"))
+    pieces = conversations.select("conv_id", F.col("turns").isNotNull().alias("known"), F.posexplode_outer(F.transform("turns", piece)).alias("at", "p"))
     tail = f" {END}\n"
     size = F.length("p.head") + F.length("p.body") + len(tail)
     run = Window.partitionBy("conv_id").orderBy("at")
     placed = pieces.withColumn("start", F.sum(size).over(run) - size + F.length("p.head") + 1)
     item = F.struct("at", F.concat("p.head", "p.body", F.lit(tail)).alias("s"), "start", F.length("p.body").alias("chars"), F.col("p.loss").alias("loss"))
-    whole = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), item))).alias("items"))
+    whole = placed.groupBy("conv_id").agg(F.max("known").alias("known"), F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), item))).alias("items"))
     spans = F.transform(F.filter("items", lambda x: x["loss"]), lambda x: F.struct(x["start"].alias("start"), x["chars"].alias("chars")))
-    return whole.select("conv_id", F.array_join(F.transform("items", lambda x: x["s"]), "").alias("formatted"), spans.alias("loss_spans"))
+    return whole.select("conv_id", F.when(F.col("known"), F.array_join(F.transform("items", lambda x: x["s"]), "")).alias("formatted"), F.when(F.col("known"), spans).alias("loss_spans"))
 
 
 def turns_of(text: Column) -> Column:
@@ -154,9 +203,10 @@ def loss_text(text: Column, spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: unescape(F.substring(text, x["start"].cast("int"), x["chars"]))), "")
 
 
-def from_rows(rows: DataFrame) -> DataFrame:
-    """conv_id, record: rows by turn (conv_id, turn, role, text) as one JSON record of the `messages` layout each."""
+def from_rows(rows: DataFrame, as_turns: Column | None = None) -> DataFrame:
+    """conv_id, record: rows by turn (conv_id, turn, role, text) as one JSON record each, of the `messages` layout, or of `turns` where that condition holds."""
     message = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
     grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(message)).alias("m"))
-    slim = F.transform("m", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
-    return grouped.select("conv_id", F.to_json(F.struct(slim.alias("messages"))).alias("record"))
+    as_ = lambda layout, text: F.to_json(F.struct(F.transform("m", lambda m: F.struct(m["role"].alias("role"), m["content"].alias(text))).alias(layout)))
+    record = as_("messages", "content")
+    return grouped.select("conv_id", (record if as_turns is None else F.when(as_turns, as_("turns", "text")).otherwise(record)).alias("record"))

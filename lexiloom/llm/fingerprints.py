@@ -1,10 +1,11 @@
 """Document fingerprints: one-permutation MinHash (DataFrame operations only).
 
 Every 5-word shingle is hashed once; the hash's high bits name its bin and the
-smallest hash of a bin stays. Empty bins are filled by optimal densification: a
-fixed random sequence of other bins is probed for each, and after a few probes
-the next filled bin from a last random place on is taken, so that any two texts
-use the same sequence. The low-order bits of the bins are packed into longs;
+smallest hash of a bin stays. Empty bins are filled by optimal densification:
+every bin has a sequence of bins of its own, the same for all texts, and takes the
+first one in it that is filled. The sequence is PROBES bins drawn at random and
+then all bins in the order of a hash of both, so that it always finds one and no
+two bins share its order. The low-order bits of the bins are packed into longs;
 likeness is the share of equal cells, corrected for chance matches.
 
 Scale: a fingerprint is computed within its row, from whole texts. `with_next`
@@ -27,9 +28,10 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import _rows
 from ._store import stage
 
-SHINGLE, BINS, BITS, PROBES = 5, 256, 4, 5
+SHINGLE, BINS, BITS, PROBES = 5, 256, 4, 8
 PER_LONG = 64 // BITS
 _NULL_ID = -(2**63)
 
@@ -39,13 +41,18 @@ def _let(value: str, name: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
+def probe_bins() -> list[list[int]]:
+    """The first bins that each empty bin tries, by attempt."""
+    rnd = random.Random(20_240_607)
+    return [[rnd.randrange(BINS) for _ in range(BINS)] for _ in range(PROBES)]
+
+
 def fingerprint(text: str) -> Column:
     """array<long> of a text column given by name: BINS cells of BITS bits."""
     shift = 64 - BINS.bit_length() + 1
     empty = (1 << shift) - 1
     half = BINS // 2
-    rnd = random.Random(20_240_607)
-    probes = ["array(" + ",".join(str(rnd.randrange(BINS)) for _ in range(BINS)) + ")" for _ in range(PROBES)]
+    probes = ["array(" + ",".join(map(str, own)) + ")" for own in probe_bins()]
     marks = "array(" + ",".join(f"{((b + 1) << shift) - 1}L" for b in range(-half, half)) + ")"
     words = f"split(btrim(lower({text}), ' \\t\\n\\r\\f'), '\\\\s+')"
     grams = f"if(size(w) >= {SHINGLE}, transform(sequence(0, size(w) - {SHINGLE}), i -> xxhash64({', '.join(f'w[i + {k}]' for k in range(SHINGLE))})), array(xxhash64(array_join(w, ' '))))"
@@ -53,8 +60,8 @@ def fingerprint(text: str) -> Column:
     lowest = f"filter(u, (x, i) -> i = 0 or shiftright(x, {shift}) <> shiftright(u[i - 1], {shift}))"
     cells = f"transform(f, x -> if((x & {empty}L) = {empty}L, null, x))"
     filled = "filter(transform(d, (x, j) -> if(x is null, -1, j)), j -> j >= 0)"
-    walk = f"d[coalesce(get(filter(s, b -> b >= {probes[-1]}[j]), 0), s[0])]"
-    dense = f"transform(d, (x, j) -> coalesce(x, {', '.join(f'd[{p}[j]]' for p in probes[:-1])}, {walk}))"
+    rest = f"d[cast(array_min(transform(s, b -> (xxhash64(j, b) & {-BINS}L) | b)) & {BINS - 1} as int)]"
+    dense = f"transform(d, (x, j) -> coalesce(x, {', '.join(f'd[{p}[j]]' for p in probes)}, {rest}))"
     packed = f"transform(sequence(0, {BINS // PER_LONG - 1}), g -> " + " | ".join(f"shiftleft(e[{PER_LONG} * g + {t}] & {(1 << BITS) - 1}L, {BITS * t})" for t in range(PER_LONG)) + ")"
     body = _let(words, "w", _let(f"sort_array(concat({grams}, {marks}))", "u", _let(lowest, "f", _let(cells, "d", _let(filled, "s", _let(dense, "e", packed))))))
     return F.expr(body)
@@ -94,7 +101,8 @@ def successors(ids: DataFrame) -> DataFrame:
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    own = _rows.named(id_col).cast("long")
+    base = docs.select(own.alias("own_id"), F.coalesce(own, F.lit(_NULL_ID)).alias("doc_id"), F.coalesce(_rows.named(text_col), F.lit("")).alias("text"))
     order = stage(successors(base.groupBy("doc_id").agg(F.max(F.length("text")).cast("long").alias("n"))), "successors")
     keyed = base.withColumn("fp", fingerprint("text"))
     following = keyed.join(order.select(F.col("doc_id").alias("o_id"), "prev_id", (F.floor(F.col("prev_n") / 3)).cast("int").alias("room")), F.col("doc_id") == F.col("o_id"))
@@ -102,9 +110,9 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     following = following.groupBy("prev_id").agg(F.min("next").alias("next"))
     n = F.length("text")
     kept = n - F.floor(n / 3).cast("int")
-    joined = keyed.join(following, F.col("doc_id") == F.col("prev_id")).select("doc_id", n.cast("long").alias("n_chars"), "fp", F.col("next.fp").alias("next_fp"), F.concat(F.col("text").substr(F.lit(1), kept), F.col("next.head").substr(F.lit(1), n - kept)).alias("edited"))
+    joined = keyed.join(following, F.col("doc_id") == F.col("prev_id")).select("own_id", n.cast("long").alias("n_chars"), "fp", F.col("next.fp").alias("next_fp"), F.concat(F.col("text").substr(F.lit(1), kept), F.col("next.head").substr(F.lit(1), n - kept)).alias("edited"))
     joined = joined.withColumn("edited_fp", fingerprint("edited"))
     return joined.select(
-        F.nullif("doc_id", F.lit(_NULL_ID)).alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("edited_fp")).alias("edited_fingerprint"),
+        F.col("own_id").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("edited_fp")).alias("edited_fingerprint"),
         likeness("fp", "edited_fp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"),
     )

@@ -1,28 +1,29 @@
 """URL filters: a sorted digest array, probed by vectorised binary search.
 
 Rules are (action, host, path prefix). Their keys (host + path) are stored as a
-sorted array of 64-bit xxhash digests with the full strings beside it; the file
-is shipped to every executor by Spark and memory-mapped there. A URL probes the
-digests of all its host suffixes with all the rule path lengths at once, and a
-hit counts only if the stored string equals the probed one. The longest rule
-that fits wins. Where no rule fits, the verdict is the method's: a list of
-blocked registrable names in a second array, otherwise allow.
-
-Scale: one pass without a shuffle; the array is bounded by the rule list, not
-by the pages, and shared by all workers of a host through the page cache.
-
-Defined cases: a null url or one without `://` has an empty host and path and
-is allowed; repeated rows are judged each; an empty table gives an empty
-result; an empty rule list fits nothing; other columns are not read.
+sorted array of 64-bit xxhash digests with the full strings and the actions
+beside it; the file is written to the shared folder, fetched once by every
+executor and memory-mapped there. A URL probes the digests of its host suffixes
+of as many labels as any rule's host has with all the rule path lengths at once,
+and a hit counts only if the stored string equals the probed one. The longest
+rule that fits wins (in bytes; of two as long, the one with the longer host). Where no rule fits, the verdict is the method's: a second
+array of blocked names (labels of a host), otherwise allow.
+
+Scale: one pass without a shuffle; a task's closure holds the files' names and
+the lengths that occur, all else is read from the maps, which are bounded by the
+rule list, not by the pages, and shared by all workers of a host through the page
+cache. A page probes (label counts x path lengths) digests, however long its host.
+
+Defined cases: page ids are integers or cast to them; a null url or one without
+`://` has an empty host and path and is allowed; repeated rows are judged each;
+an empty table gives an empty result; an empty rule list fits nothing; of rules
+with one host and path the last counts; other columns are not read.
 """
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,25 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import _rows
+from ._store import shared_file
+
 #: Names under which nothing is wanted where no rule decides.
 BLOCKED_NAMES = ("spam-farm", "cheap-pills")
+ACTIONS = ("allow", "block")
+
+
+def read_rules(spark: SparkSession, path: str) -> list[tuple[str, str, str]]:
+    """(action, host, path prefix) of a text file's lines `action host/path`; blank lines and those that begin with # are left out."""
+    lines = spark.read.text(path).select(F.trim("value").alias("line")).where("line <> '' and not startswith(line, '#')")
+    out = []
+    for (line,) in lines.toLocalIterator():  # the rule list, which the driver holds
+        action, _, key = line.partition(" ")
+        host, slash, rest = key.strip().partition("/")
+        if action not in ACTIONS or not host:
+            raise ValueError(f"not a rule: {line}")
+        out.append((action, host.lower(), slash + rest))
+    return out
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -44,24 +62,25 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 class DigestArray:
-    """Strings sorted by 64-bit digest: digests, offsets and UTF-8 bytes in one file."""
+    """Strings sorted by 64-bit digest: digests, offsets, marks and UTF-8 bytes in one file."""
 
     def __init__(self, path: str):
         data = np.memmap(path, np.uint8, "r")
         n = int(data[:8].view(np.uint64)[0])
         self.digests = data[8 : 8 + 8 * n].view(np.uint64)
         self.offsets = data[8 + 8 * n : 16 + 16 * n].view(np.uint64)
-        self.text = data[16 + 16 * n :]
+        self.marks = data[16 + 16 * n : 16 + 17 * n]
+        self.text = data[16 + 17 * n :]
 
     @staticmethod
-    def build(strings: list[str], path: str) -> list[str]:
-        """Writes the file; returns the strings in stored order."""
-        ordered = sorted(set(strings), key=lambda s: (xxhash.xxh64_intdigest(s.encode()), s))
-        raw = [s.encode() for s in ordered]
-        offsets = np.append(0, np.cumsum([len(r) for r in raw])).astype(np.uint64)
-        with open(path, "wb") as f:
-            f.write(np.array([len(raw)], np.uint64).tobytes() + np.array([xxhash.xxh64_intdigest(r) for r in raw], np.uint64).tobytes() + offsets.tobytes() + b"".join(raw))
-        return ordered
+    def parts(strings: dict[str, int]) -> list[bytes]:
+        """The file's parts; each string has a mark of one byte."""
+        keyed = sorted((xxhash.xxh64_intdigest(r), r, m) for r, m in ((s.encode("utf-8", "surrogatepass"), m) for s, m in strings.items()))
+        offsets = np.append(0, np.cumsum([len(r) for _, r, _ in keyed])).astype(np.uint64)
+        return [np.array([len(keyed)], np.uint64).tobytes(), np.array([d for d, _, _ in keyed], np.uint64).tobytes(), offsets.tobytes(), bytes(m for _, _, m in keyed), b"".join(r for _, r, _ in keyed)]
+
+    def string(self, k: int) -> str:
+        return self.text[int(self.offsets[k]) : int(self.offsets[k + 1])].tobytes().decode("utf-8", "surrogatepass")
 
     def find(self, strings: list[str]) -> np.ndarray:
         """The stored position of each string, -1 where it is not stored."""
@@ -81,14 +100,11 @@ class DigestArray:
         return out
 
 
-def _ship(spark: SparkSession, strings: list[str], name: str) -> tuple[str, list[str]]:
-    """Builds an array on the driver and hands it to Spark's file distribution; lost executors fetch it again."""
+def _ship(spark: SparkSession, strings: dict[str, int], name: str) -> str:
+    """Writes an array to the shared folder, from where executors, new ones too, fetch it."""
     name = f"{name}-{uuid.uuid4().hex[:12]}.digests"
-    folder = tempfile.mkdtemp(prefix="lexiloom-")  # the driver serves the file from here while the application runs
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    order = DigestArray.build(strings, os.path.join(folder, name))
-    spark.sparkContext.addFile(os.path.join(folder, name))
-    return name, order
+    spark.sparkContext.addFile(shared_file(spark, name, DigestArray.parts(strings)))
+    return name
 
 
 _open: dict[str, DigestArray] = {}
@@ -100,42 +116,46 @@ def _array(name: str) -> DigestArray:
     return _open[name]
 
 
-def _suffixes(host: str) -> list[str]:
-    parts = host.split(".")
-    return [".".join(parts[k:]) for k in range(len(parts))]
+def _suffixes(host: str, labels: list[int]) -> list[str]:
+    """The host's last n labels, for each n of `labels` (the largest first) that it has."""
+    parts = host.rsplit(".", labels[0]) if labels else []
+    return [".".join(parts[-n:]) for n in labels if len(parts) >= n]
 
 
-def judged(pages: DataFrame, rules: list[tuple[str, str, str]], blocked: tuple[str, ...] = BLOCKED_NAMES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judged(pages: DataFrame, rules: Iterable[tuple[str, str, str]], blocked: Iterable[str] = BLOCKED_NAMES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per page: page_id, host, path, rule (host + path of the winning rule or null), verdict."""
-    action = {h + p: a for a, h, p in rules}
-    lengths = sorted({len(p) for _, _, p in rules}, reverse=True)
+    action, names = {}, dict.fromkeys(blocked, 0)
+    lengths, labels = set(), set()
+    for a, host, path in rules:
+        action[host + path] = ACTIONS.index(a)
+        lengths.add(len(path))
+        labels.add(host.count(".") + 1)
     spark = pages.sparkSession
-    rule_file, order = _ship(spark, list(action), "rules")
-    block_file, _ = _ship(spark, list(blocked), "blocked")
-    acts = [action[k] for k in order]
-    sizes = np.array([len(k) for k in order] + [-1])
+    rule_file, block_file = _ship(spark, action, "rules"), _ship(spark, names, "blocked")
+    lengths, labels, longest = sorted(lengths), sorted(labels, reverse=True), max(map(len, names), default=0)
 
     def run(batches):
         rules_, blocked_ = _array(rule_file), _array(block_file)
+        size = np.append(np.diff(rules_.offsets.astype(np.int64)), -1)  # the last stands for no rule
         for batch in batches:
             hosts, paths = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             probe, row = [], []
             for i, (h, p) in enumerate(zip(hosts, paths)):
                 if h:
-                    own = [s + p[:n] for s in _suffixes(h) for n in lengths if len(p) >= n]
+                    own = [s + p[:n] for s in _suffixes(h, labels) for n in lengths if len(p) >= n]
                     probe += own
                     row += [i] * len(own)
             at = rules_.find(probe)
             best = np.full(len(hosts), -1, np.int64)
             for i, j in zip(np.array(row, np.int64)[at >= 0], at[at >= 0]):
-                if sizes[j] > sizes[best[i]]:
+                if size[j] > size[best[i]]:
                     best[i] = j
-            labels = [(i, part) for i, h in enumerate(hosts) if best[i] < 0 for part in h.split(".") if part]
-            bad = {labels[k][0] for k in np.flatnonzero(blocked_.find([part for _, part in labels]) >= 0)}
-            rule = [order[j] if j >= 0 else None for j in best]
-            verdict = [acts[j] if j >= 0 else "block" if i in bad else "allow" for i, j in enumerate(best)]
+            own = [(i, part) for i, h in enumerate(hosts) if best[i] < 0 for part in set(h.split(".")) if 0 < len(part) <= longest]
+            bad = {own[k][0] for k in np.flatnonzero(blocked_.find([part for _, part in own]) >= 0)}
+            rule = [rules_.string(j) if j >= 0 else None for j in best]
+            verdict = [ACTIONS[rules_.marks[j]] if j >= 0 else "block" if i in bad else "allow" for i, j in enumerate(best)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(rule, pa.string()), pa.array(verdict, pa.string())], ["page_id", "host", "path", "rule", "verdict"])
 
-    own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"))
+    own = pages.select(_rows.named(id_col).cast("long").alias("page_id"), _rows.named(url_col).alias("url"))
     host, path = host_and_path(F.col("url"))
     return own.select("page_id", host.alias("host"), path.alias("path")).mapInArrow(run, "page_id long, host string, path string, rule string, verdict string")
