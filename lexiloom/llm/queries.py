@@ -64,13 +64,15 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: conversation -7: a text that holds the template's own control strings.
-TRICKY = [(-7, 0, "user", r"\### Assistant: </turn> ok"), (-7, 1, "assistant", r"\### Assistant: </turn> ok")]
+TRICKY = r"\### Assistant: </turn> ok"
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    rows = rows.unionByName(spark.createDataFrame(TRICKY, "conv_id long, turn long, role string, text string"))
-    out = chat.formatted(chat.canonical(chat.from_rows(rows)))
+    """Conversations with an odd id are written as `turns` records, the others as `messages`; both come out alike."""
+    rows = _read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    turn = F.explode(F.array(F.struct(F.lit(0).alias("turn"), F.lit("user").alias("role")), F.struct(F.lit(1).alias("turn"), F.lit("assistant").alias("role"))))
+    tricky = spark.range(1).select(turn.alias("t")).select(F.lit(-7).cast("long").alias("conv_id"), F.col("t.turn").cast("long").alias("turn"), "t.role", F.lit(TRICKY).alias("text"))
+    out = chat.formatted(chat.canonical(chat.from_rows(rows.unionByName(tricky), F.col("conv_id") % 2 != 0)))
     back = out.withColumn("turns", chat.turns_of(F.col("formatted"))).withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_spans")))
     line = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
@@ -136,10 +138,11 @@ DOMAIN_TARGETS = {"good": 0.9, "poor": 0.08, "toxic": 0.02}
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _read(spark, sf_dir, "labels")
     domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
-    fitted = mixing.rates(_read(spark, sf_dir, "documents"), labels.select("doc_id", domain.alias("domain")), DOMAIN_TARGETS)
-    shares = [F.element_at("posterior", k + 1).alias(f"p_{d}") for k, d in enumerate(DOMAIN_TARGETS)]
-    rows = fitted.select("doc_id", "n_tokens", *shares, "rate", mixing.draws(F.col("rate"), F.struct("doc_id", "text_key")).alias("draws"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
-    return rows.drop("copy")
+    fitted, fit = mixing.rates(_read(spark, sf_dir, "documents"), labels.select("doc_id", domain.alias("domain")), DOMAIN_TARGETS)
+    posterior = [F.element_at("posterior", k + 1).alias(f"p_{d}") for k, d in enumerate(DOMAIN_TARGETS)]
+    reached = [F.lit(share).alias(f"share_{d}") for share, d in zip(fit.shares, DOMAIN_TARGETS)]
+    rows = fitted.select("doc_id", "n_tokens", *posterior, "rate", mixing.draws(F.col("rate"), F.struct("doc_id", "text_key")).alias("draws"), *reached, F.lit(fit.residual).alias("residual"), "copies")
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies", "copy")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
