@@ -445,7 +445,7 @@ def gzip_window_ratio(spark, sf_dir):
 
 @query()
 def html_blocks(spark, sf_dir):
-    return html.blocks(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", F.posexplode("blocks").alias("pos", "block"))
+    return html.blocks(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "pos", "block")
 
 
 # ---- corpus analytics: one entity per source -------------------------------------------

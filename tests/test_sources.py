@@ -1,11 +1,14 @@
+import random
+import re
 import zipfile
+from html import unescape
 
 import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.operators import corpus
 from lexiloom.plans import reports
-from lexiloom.sources import epub, files
+from lexiloom.sources import epub, files, html
 from lexiloom.streaming import incremental
 
 
@@ -27,18 +30,107 @@ def test_markdown_and_settings(spark, tmp_path):
     assert got == {"un": ("Un", 1901), "trois": ("Trois", 1987), "quatre": ("Q", 1977)}
 
 
-def test_epub(spark, tmp_path):
+def book(path, title, creator, toc, documents, more=""):
     page = lambda body: f"<html><body>{body}</body></html>"
-    with zipfile.ZipFile(tmp_path / "b.epub", "w") as z:
+    with zipfile.ZipFile(path, "w") as z:
         z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="O/c.opf"/></rootfiles></container>')
-        z.writestr("O/c.opf", '<package><metadata><title>Livre</title><creator>Hugo, Victor</creator><date event="publication">1862-03-01T00</date></metadata><manifest><item id="n" href="toc.ncx" media-type="application/x-dtbncx+xml"/><item id="a" href="cover.xhtml"/><item id="b" href="one.xhtml"/><item id="c" href="two.xhtml"/></manifest><spine><itemref idref="a"/><itemref idref="b"/><itemref idref="c"/></spine></package>')
-        z.writestr("O/toc.ncx", '<ncx><navPoint><navLabel><text>Couverture</text></navLabel><content src="cover.xhtml"/></navPoint><navPoint><navLabel><text>Chapitre 1</text></navLabel><content src="one.xhtml#x"/></navPoint></ncx>')
-        z.writestr("O/cover.xhtml", page("<p>cover</p>"))
-        z.writestr("O/one.xhtml", page("<h1>I</h1><p>Un.</p><p>Un.</p>"))
-        z.writestr("O/two.xhtml", page("<p>Deux.</p>"))
+        items = "".join(f'<item id="d{k}" href="{n}"/>' for k, (n, _) in enumerate(documents)) + ('<item id="n" href="toc.ncx" media-type="application/x-dtbncx+xml"/>' if toc else "")
+        refs = "".join(f'<itemref idref="d{k}"/>' for k in range(len(documents)))
+        z.writestr("O/c.opf", f"<package><metadata><title>{title}</title><creator>{creator}</creator>{more}</metadata><manifest>{items}</manifest><spine>{refs}</spine></package>")
+        if toc:
+            z.writestr("O/toc.ncx", "<ncx>" + "".join(f'<navPoint><navLabel><text>{label}</text></navLabel><content src="{n}"/></navPoint>' for label, n in toc) + "</ncx>")
+        for n, body in documents:
+            if body is not None:
+                z.writestr(f"O/{n}", page(body))
+
+
+def test_epub(spark, tmp_path):
+    book(
+        tmp_path / "Un Livre.epub", "Livre", "Hugo, Victor", [("Couverture", "cover.xhtml"), ("Chapitre 1", "one.xhtml#x"), ("Chapitre 1 bis", "one.xhtml#y")],
+        [("cover.xhtml", "<p>cover</p>"), ("one.xhtml", "<h1>I</h1><p>Un.</p><p>Un.</p>"), ("two.xhtml", "<p>Deux.</p><p>Livre</p>"), ("lost.xhtml", None)],
+        '<date event="publication">1862-03-01T00</date><subject>Grand Roman, historique</subject>',
+    )
     (r,) = epub.read_epubs(spark, str(tmp_path)).collect()
-    assert r.text == "# Chapitre 1\n\nUn.\n\nDeux." and r.toc == ["Couverture", "Chapitre 1"]
-    assert (r.meta["title"], r.meta["author"], r.meta["publication_date"]) == ("Livre", "Victor Hugo", "1862-03-01")
+    assert r.text == "# Chapitre 1\n\nUn.\n\nDeux." and r.toc == ["Couverture", "Chapitre 1"] and r.error is None
+    assert (r.meta.title, r.meta.author, r.meta.author_lastname, r.meta.publication_date, r.meta.genre) == ("Livre", "Victor Hugo", "Hugo", "1862-03-01", "Roman")
+    (m,) = epub.as_markdown(epub.read_epubs(spark, str(tmp_path))).collect()
+    assert m.name == "un-livre.md" and m.text.startswith('---\ntitle: "Livre"\nauthor: "Victor Hugo"') and 'publication_date: "1862-03-01"\nsize: 24\nsource: "un-livre.epub"\n---\n\n# Chapitre 1' in m.text
+
+
+def test_epub_choices(spark, tmp_path):
+    para = lambda *ps: "".join(f"<p>{p}</p>" for p in ps)
+    # after a preface the next entry that is no front matter begins the narrative; numbered entries go before others
+    book(tmp_path / "a.epub", "Le Titre", "X", [("Préface", "p.xhtml"), ("Du même auteur", "q.xhtml"), ("1. Evan", "one.xhtml"), ("Annexe", "z.xhtml")], [("p.xhtml", para("pré")), ("q.xhtml", para("même")), ("one.xhtml", "<h2>one</h2><h3>Evan</h3><h3>12.</h3>" + para("LE TITRE", "Il court.")), ("z.xhtml", para("Fin."))])
+    # no table of contents: from the first chapter heading
+    book(tmp_path / "b.epub", "Victor Hugo", "Quatre 93", [], [("x.xhtml", para("garde") + "<h1>Avant</h1><h1>Chapitre II</h1>" + para("Texte.")), ("copyright.xhtml", para("droits"))])
+    book(tmp_path / "c.epub", "C", "Hugo Victor", [("Couverture", "i.xhtml"), ("Midi - Le départ", "j.xhtml")], [("i.xhtml", para("garde")), ("j.xhtml", para("Midi", "Le départ", "On part."))])
+    book(tmp_path / "d.epub", "D", "Dupont Jean", [], [("x.xhtml", para("Rien que du texte."))])
+    (tmp_path / "bad.epub").write_bytes(b"no archive")
+    got = {r.path.rsplit("/", 1)[1][:-5]: r for r in epub.read_epubs(spark, str(tmp_path)).collect()}
+    assert got["a"].text == "# 1. Evan\n\nIl court.\n\nFin."
+    assert got["b"].text == "# Chapitre II\n\nTexte." and (got["b"].meta.title, got["b"].meta.author) == ("Quatre 93", "Victor Hugo")
+    assert got["c"].text == "# Midi - Le départ\n\nOn part." and got["c"].meta.author == "Hugo Victor"
+    assert got["d"].text == "Rien que du texte." and got["d"].meta.author == "Jean Dupont"
+    assert got["bad"].error.startswith("BadZipFile") and got["bad"].text == ""
+
+
+def plain_blocks(markup):
+    """The same rules by one walk over the tags."""
+    m = re.search(r"(?is)<body\b[^>]*>(.*?)(?:</body\s*>|\Z)", markup or "")
+    body = re.sub(r"(?is)<!--.*?-->|<(script|style|svg|nav)\b[^>]*>.*?(?:</\1\s*>|\Z)", "", m[1] if m else "")
+    names = "|".join((*html.BLOCK_TAGS, "hr"))
+    out, open_, below, sub, quote, run = [], "", False, False, 0, ""
+
+    def put(ended):
+        nonlocal run
+        text = " ".join(unescape(re.sub(r"(?s)</?[A-Za-z][^>]*(?:>|\Z)", "", run)).split())
+        run = ""
+        short = 1 <= len(text) <= 120 and len(text.split(" ")) <= 15 and text[-1] not in ".!?;:"
+        if text and not re.match(r"(?i)inconnu\s*\(e\)\s*$", text):
+            mark = "" if not ended or not open_ or (sub and not short) else ">" if quote else "##" if sub else html.MARKS.get(open_, "")
+            out.append(f"{mark} {text}" if mark else text)
+
+    at = 0
+    for t in re.finditer(rf"(?is)<(/?)({names})(?=[\s/>])([^>]*)(?:>|\Z)", body):
+        run += body[at : t.start()]
+        at = t.end()
+        tag, end = t[2].lower(), bool(t[1])
+        if tag == "hr":
+            put(False)
+            out.append("---")
+        elif end:
+            put(True)
+            below, open_, sub = open_ in html.HEADINGS, "", False
+            quote = max(0, quote - (tag == "blockquote"))
+        elif t[3].endswith("/"):
+            put(False)
+        else:
+            put(False)
+            quote += tag == "blockquote"
+            open_, sub = tag, tag == "p" and below and bool(re.search(r"""(?i)\sclass\s*=\s*["']?[^"'\s]""", t[3]))
+    run += body[at:]
+    put(False)
+    lines = []
+    for line in out:
+        line = "---" if line == "*" else line
+        if lines and lines[-1].startswith("> ") and 3 <= len(line) <= 120 and "," in line and line[-1] not in ".!?;:" and not line.startswith(("#", ">", "---")):
+            line = "> " + line
+        if not lines or line != lines[-1]:
+            lines.append(line)
+    return lines
+
+
+def test_blocks_against_a_plain_walk(spark):
+    rnd = random.Random(4)
+    bits = ["<p>", "</p>", '<p class="a">', "<h1>", "</h1>", "<h3>", "</h3>", "<blockquote>", "</blockquote>", "<br>", "<br/>", "<hr/>", "<b>", "</b>", "Un mot", "Hugo, 1850", "Fin.", "*", "inconnu (e)", " ", "&amp; &eacute;t&eacute;", "<li>", "</li>", "a < b", "<nav><p>x</p></nav>", "<!-- <p> -->"]
+    pages = ["<html><body>" + "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 40))) + rnd.choice(["</body>", "", "<p cla"]) for _ in range(400)] + [None, "", "<p>no body</p>"]
+    pages += [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    rows = html.blocks(spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.page_id, r.pos)):
+        got.setdefault(r.page_id, []).append(r.block)
+    for k, page in enumerate(pages):
+        assert got.get(k, []) == plain_blocks(page), page
 
 
 def test_incremental_and_stream(spark, tmp_path):

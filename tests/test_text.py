@@ -52,7 +52,7 @@ def test_windows(spark):
 
 
 def test_names(spark):
-    assert run(spark, T.display_name, "lettre1.md", "_Crouzet.md", "mon_roman-12.md") == ["Lettre 1", "Crouzet", "Mon roman 12"]
+    assert run(spark, T.display_name, "lettre1.md", "_Durand.md", "mon_roman-12.md") == ["Lettre 1", "Durand", "Mon roman 12"]
     assert run(spark, T.slug, "L'Été à Œuvre!") == "l-ete-a-oeuvre"
 
 
