@@ -111,17 +111,13 @@ def markdown_body(text: Column) -> Column:
 
 
 def clean_body(text: Column) -> Column:
-    """Drops headings, quotes and everything under a preliminary heading."""
-    heading = r"^\s*#{1,6}\s+\S"
-
-    def step(acc: Column, line: Column) -> Column:
-        is_heading = F.rlike(line, F.lit(heading))
-        skip = F.when(is_heading, F.rlike(F.lower(line), F.lit("|".join(config.PRELIMINARY_WORDS)))).otherwise(acc["skip"])
-        drop = is_heading | skip | F.rlike(line, F.lit(r"^\s*>"))
-        return F.struct(skip.alias("skip"), F.when(drop, acc["out"]).otherwise(F.concat(acc["out"], F.array(line))).alias("out"))
-
-    start = F.struct(F.lit(False).alias("skip"), F.array().cast("array<string>").alias("out"))
-    return strip(F.array_join(F.aggregate(F.split(text, r"\r\n|[\n\r]", -1), start, step)["out"], "\n"))
+    """Drops headings, quotes and everything under a preliminary heading: the text is cut before each heading, and a section stays or goes as a whole."""
+    heading = r"[ \t\x{0B}\f]*#{1,6}[ \t\x{0B}\f]+\S"
+    sections = F.split(F.regexp_replace(text, "\r\n?", "\n"), rf"(?m)^(?={heading})", -1)
+    headed = lambda s: F.rlike(s, F.lit(rf"\A{heading}"))
+    kept = F.filter(sections, lambda s: ~headed(s) | ~F.rlike(F.lower(F.substring_index(s, "\n", 1)), F.lit("|".join(config.PRELIMINARY_WORDS))))
+    below = F.transform(kept, lambda s: F.when(headed(s), F.when(F.contains(s, F.lit("\n")), F.substr(s, F.instr(s, "\n") + 1)).otherwise("")).otherwise(s))
+    return strip(F.regexp_replace(F.array_join(below, ""), r"(?m)^[ \t\x{0B}\f]*>.*(?:\n|\z)", ""))
 
 
 def publication_year(date: Column, text: Column) -> Column:

@@ -45,11 +45,20 @@ def delta(a: Column, b: Column) -> Column:
     return F.when(F.size(parts) > 0, F.aggregate(parts, F.lit(0.0), lambda s, d: s + d) / F.size(parts))
 
 
-def burrows(long: DataFrame, metrics: list[str] | None = None) -> DataFrame:
-    """left, right (left < right), distance, for all pairs of entities."""
+def burrows(long: DataFrame, metrics: list[str] | None = None, block: int = 2000) -> DataFrame:
+    """left, right (left < right), distance, for all pairs of entities.
+
+    The pairs are the result, so their number is what it is; entities are dealt into blocks of
+    about `block`, and a task meets two blocks at a time by an equi join.
+    """
     z = zscores(long, list(metrics or config.BURROWS_FIELDS))
-    a, b = z.alias("a"), z.alias("b")
-    return a.join(b, F.col("a.entity") < F.col("b.entity")).select(F.col("a.entity").alias("left"), F.col("b.entity").alias("right"), delta(F.col("a.z"), F.col("b.z")).alias("distance"))
+    blocks = max(1, -(-long.select("entity").distinct().count() // block))
+    dealt = z.withColumn("own", F.pmod(F.xxhash64("entity"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = dealt.select("entity", "z", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    a, b = met.alias("a"), met.alias("b")
+    once = (F.col("a.own") != F.col("b.own")) | (F.col("a.i") == F.col("a.j"))
+    pairs = a.join(b, (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j"))).where((F.col("a.entity") < F.col("b.entity")) & once)
+    return pairs.select(F.col("a.entity").alias("left"), F.col("b.entity").alias("right"), delta(F.col("a.z"), F.col("b.z")).alias("distance"))
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
@@ -67,17 +76,38 @@ def singularity(pairs: DataFrame) -> DataFrame:
     return both_ways(pairs).groupBy("left").agg(F.min("distance").alias("nearest")).withColumnRenamed("left", "entity")
 
 
-def neighbourhood(pairs: DataFrame, corpus_pairs: DataFrame | None = None) -> DataFrame:
+RANGES = 4096
+
+
+def shares_at_least(values: DataFrame) -> DataFrame:
+    """values: d, c (how often). Adds percentile: the share, in percent, of all that are at least d.
+
+    A histogram of RANGES ranges gives what lies above a range; the running count is taken
+    within each range, so that no task sorts all values.
+    """
+    low, high, total = values.agg(F.min("d"), F.max("d"), F.sum("c")).first()  # three numbers
+    width = ((high or 0.0) - (low or 0.0)) / RANGES or 1.0
+    ranged = values.withColumn("range", F.least(F.lit(RANGES - 1), F.floor((F.col("d") - F.lit(low or 0.0)) / F.lit(width)).cast("int")))
+    counts = ranged.groupBy("range").agg(F.sum("c").alias("n"))  # at most RANGES rows
+    above = counts.select("range", (F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy(F.desc("range"))) - F.col("n")).alias("above"))
+    own = F.sum("c").over(Window.partitionBy("range").orderBy(F.desc("d")).rangeBetween(Window.unboundedPreceding, 0))
+    return ranged.withColumn("own", own).join(F.broadcast(above), "range").select("d", (100.0 * (F.col("above") + F.col("own")) / F.lit(total or 1)).alias("percentile"))
+
+
+def neighbourhood(pairs: DataFrame, corpus_pairs: DataFrame | None = None, top: int | None = None, pinned: DataFrame | None = None) -> DataFrame:
     """left, right, distance, percentile (share of corpus pairs at least as far, in percent), rank.
 
-    One sort of all distances: a running count replaces a comparison of pairs with pairs.
+    top: only the first so many of every left stay, and the rows of `pinned` (left, right), wherever they rank.
     """
-    reference = (corpus_pairs or pairs).select(F.round("distance", 12).alias("d")).groupBy("d").agg(F.count(F.lit(1)).alias("c"))
-    total = F.sum("c").over(Window.partitionBy(F.lit(1)))
-    at_least = F.sum("c").over(Window.partitionBy(F.lit(1)).orderBy(F.desc("d")).rangeBetween(Window.unboundedPreceding, 0))
-    shares = reference.select("d", (100.0 * at_least / total).alias("percentile"))
-    rows = both_ways(pairs).withColumn("d", F.round("distance", 12)).join(shares, "d")
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("left").orderBy(F.desc("percentile"), "distance", "right"))).select("left", "right", "distance", "percentile", "rank")
+    reference = (corpus_pairs or pairs).select(F.round("distance", 12).alias("d")).where("d is not null").groupBy("d").agg(F.count(F.lit(1)).alias("c"))
+    rows = both_ways(pairs).withColumn("d", F.round("distance", 12)).join(shares_at_least(reference), "d")
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("left").orderBy(F.desc("percentile"), "distance", "right"))).select("left", "right", "distance", "percentile", "rank")
+    if top is None:
+        return rows
+    if pinned is None:
+        return rows.where(F.col("rank") <= top)
+    marked = rows.join(pinned.select("left", "right").distinct().withColumn("pin", F.lit(True)), ["left", "right"], "left")
+    return marked.where((F.col("rank") <= top) | F.col("pin")).drop("pin")
 
 
 def podium(neighbours: DataFrame, authors: DataFrame, k: int = 5) -> DataFrame:
@@ -123,8 +153,8 @@ def coverage(scaled_rows: DataFrame) -> DataFrame:
     """entity, coverage: polygon area of scaled values, the largest being 100."""
     axis = F.row_number().over(Window.partitionBy("entity").orderBy("metric")) - 1
     area = polygon_area(scaled_rows.withColumn("axis", axis), "scaled")
-    top = F.max("area").over(Window.partitionBy(F.lit(1)))
-    return area.withColumn("coverage", F.when(top > 0, F.col("area") / top * 100).otherwise(0.0)).select("entity", "coverage")
+    top = F.broadcast(area.agg(F.max("area").alias("top")))  # one row
+    return area.crossJoin(top).select("entity", F.when(F.col("top") > 0, F.col("area") / F.col("top") * 100).otherwise(0.0).alias("coverage"))
 
 
 def author_summary(long: DataFrame, authors: DataFrame) -> DataFrame:
@@ -135,9 +165,9 @@ def author_summary(long: DataFrame, authors: DataFrame) -> DataFrame:
 
 def profile_limits(scaled_rows: DataFrame) -> DataFrame:
     """metric, low, median (the lower one), high of scaled values, at least 10."""
-    held = scaled_rows.groupBy("metric").agg(F.array_sort(F.collect_list("scaled")).alias("v"))
-    at = lambda i: F.greatest(F.lit(10.0), F.element_at("v", i))
-    return held.select("metric", at(F.lit(1)).alias("low"), at(F.floor((F.size("v") - 1) / 2).cast("int") + 1).alias("median"), at(F.lit(-1)).alias("high"))
+    lower = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY scaled)")
+    at = lambda c: F.greatest(F.lit(10.0), c)
+    return scaled_rows.groupBy("metric").agg(at(F.min("scaled")).alias("low"), at(lower).alias("median"), at(F.max("scaled")).alias("high"))
 
 
 def web_view(wide: DataFrame) -> DataFrame:
@@ -152,8 +182,14 @@ def web_view(wide: DataFrame) -> DataFrame:
     return out
 
 
+MAP_ENTITIES = 5_000
+
+
 def mds(pairs: DataFrame) -> DataFrame:
-    """entity, x, y, stress, medoid: classical scaling of all distances, by one task (entities are books, and the matrix is dense by definition)."""
+    """entity, x, y, stress, medoid: classical scaling of all distances, by one task: the matrix is dense by definition. More than MAP_ENTITIES entities are refused."""
+    n = pairs.select(F.explode(F.array("left", "right")).alias("e")).distinct().count()
+    if n > MAP_ENTITIES:
+        raise ValueError(f"a map of {n} entities: choose {MAP_ENTITIES} or fewer")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         names = sorted(set(pdf["left"]) | set(pdf["right"]))

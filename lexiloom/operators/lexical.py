@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import text as T
-from .tokens import is_function_word
+from .tokens import DEFAULT, FunctionWords, is_function_word
 
 
 def moving_ttr(rows: DataFrame, item: str, window: int, name: str) -> DataFrame:
@@ -51,19 +51,19 @@ def moving_trigram_repetition(rows: DataFrame, item: str, window: int = config.T
     return grams.groupBy("doc_id", "start").agg(F.avg((F.col("k") > 1).cast("double")).alias("r")).groupBy("doc_id").agg(F.avg("r").alias(name))
 
 
-def pos_ratios(known: DataFrame) -> DataFrame:
+def pos_ratios(known: DataFrame, rules: FunctionWords = DEFAULT) -> DataFrame:
     """Shares of noun, verb, adjective and adverb forms among words that the lexicon knows; function words among all."""
     share = lambda p: F.coalesce(F.avg(F.when(F.col("known"), F.startswith(F.col("category"), F.lit(p)).cast("double"))), F.lit(0.0))
     out = known.groupBy("doc_id").agg(
         share("nom").alias("noun_ratio"), share("verbe").alias("verb_ratio"), share("adjectif").alias("adjective_ratio"), share("adverbe").alias("adverb_ratio"),
-        F.avg(is_function_word(F.col("word"), F.col("category")).cast("double")).alias("function_word_ratio"),
+        F.avg(is_function_word(F.col("word"), F.col("category"), rules=rules).cast("double")).alias("function_word_ratio"),
     )
     return out.withColumn("noun_verb_ratio", F.when(F.col("verb_ratio") > 0, F.col("noun_ratio") / F.col("verb_ratio")).otherwise(0.0))
 
 
-def content_words(known: DataFrame) -> DataFrame:
+def content_words(known: DataFrame, rules: FunctionWords = DEFAULT) -> DataFrame:
     """Words that are no function words, renumbered: doc_id, n, pos, word, lemma, known."""
-    kept = known.where(~is_function_word(F.col("word"), F.col("category")))
+    kept = known.where(~is_function_word(F.col("word"), F.col("category"), rules=rules))
     own = Window.partitionBy("doc_id")
     return kept.select("doc_id", "word", "lemma", "known", (F.row_number().over(own.orderBy("pos")) - 1).alias("pos"), F.count(F.lit(1)).over(own).cast("int").alias("n"))
 

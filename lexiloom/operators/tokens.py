@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from ..functions import text as T
 
 
 def items(docs: DataFrame, array: Column, name: str) -> DataFrame:
-    """doc_id, n (items of the document), pos (from 0), item."""
+    """doc_id, n (items of the document), pos (from 0), item. Measures take ids that are not null and do not repeat; `keyed` gives such to any table."""
     held = docs.select("doc_id", array.alias("a"))
     return held.select("doc_id", F.size("a").alias("n"), F.posexplode("a").alias("pos", name))
 
@@ -27,12 +29,33 @@ def sentences(docs: DataFrame) -> DataFrame:
     return items(docs, T.split_sentences(F.col("text")), "sentence")
 
 
-def is_function_word(word: Column, category: Column, lemma: Column | None = None) -> Column:
+@dataclass(frozen=True)
+class FunctionWords:
+    """What counts as a function word: words, categories and lemmas; kept words never do."""
+
+    words: tuple[str, ...] = config.FUNCTION_WORDS
+    categories: tuple[str, ...] = config.FUNCTION_CATEGORIES
+    lemmas: tuple[str, ...] = config.FUNCTION_LEMMAS
+    kept: tuple[str, ...] = ()
+
+    @staticmethod
+    def of(table: DataFrame) -> FunctionWords:
+        """From kind (mot, catégorie, lemme, garder) and value: a configuration file's rows, which the driver holds."""
+        held: dict[str, list[str]] = {"mot": [], "catégorie": [], "lemme": [], "garder": []}
+        for kind, value in table.select("kind", "value").distinct().orderBy("kind", "value").collect():
+            held[kind].append(value)
+        return FunctionWords(*(tuple(held[k]) for k in ("mot", "catégorie", "lemme", "garder")))
+
+
+DEFAULT = FunctionWords()
+
+
+def is_function_word(word: Column, category: Column, lemma: Column | None = None, rules: FunctionWords = DEFAULT) -> Column:
     """Categories, listed words and one-letter words; the lemma counts where it is given."""
-    out = word.isin(*config.FUNCTION_WORDS) | F.lower(category).isin(*config.FUNCTION_CATEGORIES) | (F.length(word) <= 1)
+    out = word.isin(*rules.words) | F.lower(category).isin(*rules.categories) | (F.length(word) <= 1)
     if lemma is not None:
-        out = out | lemma.isin(*config.FUNCTION_WORDS, *config.FUNCTION_LEMMAS)
-    return out
+        out = out | lemma.isin(*rules.words, *rules.lemmas)
+    return out & ~word.isin(*rules.kept) if rules.kept else out
 
 
 def with_lexicon(words: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -43,3 +66,9 @@ def with_lexicon(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     """
     joined = words.join(lexicon.select(F.col("form").alias("word"), F.col("lemma").alias("l"), F.col("category").alias("c")), "word", "left")
     return joined.withColumn("known", F.col("l").isNotNull()).withColumn("lemma", F.coalesce("l", "word")).withColumn("category", F.lower(F.coalesce("c", F.lit("")))).drop("l", "c")
+
+
+def keyed(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """docs with doc_id replaced by a digest of its row (as text), one row for each: for tables whose ids are null or repeat. `id` keeps the old one, `copies` counts rows that are equal."""
+    key = F.sha2(F.to_json(F.struct(*columns)), 256)
+    return docs.groupBy(key.alias("key"), *columns).agg(F.count(F.lit(1)).alias("copies")).select(F.col("key").alias("doc_id"), F.col(columns[0]).alias("id"), *columns[1:], "copies")

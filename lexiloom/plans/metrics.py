@@ -18,6 +18,11 @@ def registry(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "metric string, metric_id int, windowed boolean, burrows boolean")
 
 
+def first_window(docs: DataFrame) -> DataFrame:
+    """docs cut to their first analysis window."""
+    return docs.select("doc_id", T.strip(F.substr("text", F.lit(1), T.first_window_end(F.col("text")))).alias("text"))
+
+
 def metric_vector(docs: DataFrame, lexicon: DataFrame, families: DataFrame, sounds: DataFrame, parses: DataFrame | None = None, windowed: bool = True) -> DataFrame:
     """One row per document, also for empty texts (zeros); syntax measures are null without parses.
 
@@ -25,7 +30,7 @@ def metric_vector(docs: DataFrame, lexicon: DataFrame, families: DataFrame, soun
     keyed and shuffled by doc_id, so the joins reuse that partitioning.
     """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    first = base.select("doc_id", T.strip(F.substr("text", F.lit(1), T.first_window_end(F.col("text")))).alias("text")) if windowed else base
+    first = first_window(base) if windowed else base
     toks, sents = tokens.tokens(base), tokens.sentences(base)
     known = tokens.with_lexicon(toks, lexicon)
     content = lexical.content_words(known)
@@ -62,13 +67,22 @@ def complete(wide: DataFrame, required: tuple[str, ...]) -> DataFrame:
     return wide.withColumn("doc_id", F.when(bad, F.raise_error(F.concat(F.lit("incomplete measures of document "), F.col("doc_id").cast("string"))).cast("long")).otherwise(F.col("doc_id")))
 
 
-def comparable(docs: DataFrame, measure, window_words: int | None = None) -> DataFrame:
+def comparable(docs: DataFrame, measure, window_words: int | None = None, whole: DataFrame | None = None) -> DataFrame:
     """Measures averaged over paragraph windows of equal size (the shortest document's words unless given).
 
-    measure: docs -> one row per doc_id with numeric columns.
+    measure: docs -> one row per doc_id with numeric columns. whole: doc_id and measures of whole texts
+    (counts, gzip ratio, voice, comparisons), which stand in place of the averages of their names.
     """
     size = window_words or int(docs.agg(F.min(F.size(T.tokenize(F.col("text"))))).first()[0] or 1)
     cut = docs.select("doc_id", F.posexplode(T.paragraph_windows(F.col("text"), max(1, size))).alias("w", "text"))
     out = measure(cut.select(F.struct("doc_id", "w").alias("doc_id"), "text"))
-    names = [c for c in out.columns if c != "doc_id"]
-    return out.groupBy(F.col("doc_id.doc_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("windows"), *(F.avg(c).alias(c) for c in names))
+    instead = set(whole.columns) if whole is not None else set()
+    names = [c for c in out.columns if c != "doc_id" and c not in instead]
+    means = out.groupBy(F.col("doc_id.doc_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("windows"), *(F.avg(c).alias(c) for c in names))
+    return means if whole is None else means.join(whole, "doc_id", "left")
+
+
+def with_notes(long: DataFrame, registry: DataFrame, notes: DataFrame) -> DataFrame:
+    """long (entity, metric, value) with metric_id and note: a note's id is its metric's. notes: note_id, note."""
+    known = registry.select("metric", "metric_id").join(notes.where("note_id is not null").groupBy(F.col("note_id").alias("metric_id")).agg(F.first("note").alias("note")), "metric_id", "left")
+    return long.join(known, "metric", "left").select("entity", "metric", "metric_id", "value", "note")

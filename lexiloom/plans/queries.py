@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions import text as T
 from ..operators import compress, corpus, lexical, repetition, rhythm, structure, syntax, tokens
-from ..sources import html, lexicons
+from ..sources import files, html, lexicons
 from ..streaming import incremental
 from . import metrics, reports
 
@@ -32,7 +33,7 @@ def query(sql: str | None = None):
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return files.dealt(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
 
 
 def _r(df: DataFrame, *names: str) -> DataFrame:
@@ -268,9 +269,17 @@ def repetition_annotations(spark, sf_dir):
     return repetition.annotations(_rwords(spark, sf_dir), lexicons.small_families(spark)).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query()
+_FRAME = "PARTITION BY doc_id, start"
+
+
+@query(f"""WITH {_RKNOWN}, {_FAM}, {_values('rel', 'w1, w2', sorted(set(_REL)))}, fr AS (SELECT *, unnest(list_distinct(list_append(range(0, n - 300 + 1, 300), n - 300))) AS start FROM kw WHERE n >= 300), f AS MATERIALIZED (SELECT * FROM fr WHERE start <= pos AND pos < start + 300),
+fa AS (SELECT doc_id, start, avg((c > 1)::INT) AS absolute FROM (SELECT doc_id, start, row_number() OVER ({_FRAME}, lemma ORDER BY pos) AS c FROM f) GROUP BY ALL), ff AS (SELECT doc_id, start, count(*) / 300 AS filtered FROM (SELECT doc_id, start, row_number() OVER ({_FRAME}, lemma ORDER BY pos) AS c FROM f WHERE NOT fn) WHERE c > 1 GROUP BY ALL),
+fk AS (SELECT doc_id, start, pos, 'L:' || lemma AS key FROM f WHERE NOT fn UNION ALL SELECT DISTINCT doc_id, start, pos, 'F:' || family FROM f JOIN fam ON lemma = lexeme WHERE NOT fn), fm AS (SELECT doc_id, start, count(DISTINCT pos) / 300 AS family FROM (SELECT *, row_number() OVER ({_FRAME}, key ORDER BY pos) AS c FROM fk) WHERE c > 1 GROUP BY ALL),
+fw AS (SELECT doc_id, start, word, min(pos) AS first FROM f WHERE NOT fn GROUP BY ALL), fp AS (SELECT f.doc_id, f.start, count(DISTINCT f.pos) / 300 AS phonetic FROM f JOIN rel ON f.word = w1 JOIN fw ON fw.doc_id = f.doc_id AND fw.start = f.start AND fw.word = w2 WHERE NOT fn AND fw.first < f.pos GROUP BY ALL)
+SELECT doc_id, count(*) AS frames, round(avg(absolute), 6) AS absolute, round(avg(coalesce(filtered, 0)), 6) AS filtered, round(avg(coalesce(family, 0)), 6) AS family, round(avg(coalesce(phonetic, 0)), 6) AS phonetic FROM fa LEFT JOIN ff USING (doc_id, start) LEFT JOIN fm USING (doc_id, start) LEFT JOIN fp USING (doc_id, start) GROUP BY doc_id""")
 def repetition_distribution(spark, sf_dir):
-    return repetition.repetition_distribution(tokens.repetition_tokens(docs(spark, sf_dir)), lexicons.small_lexicon(spark), lexicons.small_families(spark), lexicons.small_sounds(spark), 300)
+    out = repetition.repetition_distribution(tokens.repetition_tokens(docs(spark, sf_dir)), lexicons.small_lexicon(spark), lexicons.small_families(spark), lexicons.small_sounds(spark), 300)
+    return _r(out, "absolute", "filtered", "family", "phonetic")
 
 
 # ---- structure -------------------------------------------------------------------
@@ -331,63 +340,76 @@ def structural_diversity(spark, sf_dir):
     return _r(structure.structural_diversity(_signatures(spark, sf_dir)), "structural_diversity")
 
 
-# ---- dependency trees: a small parse table ------------------------------------------
-_PARSE = "doc_id long, sent_id long, tok_id long, text string, lower string, lemma string, upos string, dep string, head_id long, verb_form string, voice string, is_punct boolean, is_alpha boolean, start int"
-
-
-def _parse_rows():
-    sentences = [
-        (1, 0, [("Il", "il", "PRON", "nsubj", 1, None, None), ("courait", "courir", "VERB", "ROOT", 1, "Fin", None), ("comme", "comme", "ADP", "case", 4, None, None), ("un", "un", "DET", "det", 4, None, None), ("chien", "chien", "NOUN", "obl", 1, None, None), ("enragé", "enragé", "ADJ", "amod", 4, None, None), (".", ".", "PUNCT", "punct", 1, None, None)]),
-        (1, 1, [("Comme", "comme", "SCONJ", "mark", 2, None, None), ("il", "il", "PRON", "nsubj", 2, None, None), ("pleuvait", "pleuvoir", "VERB", "advcl", 4, "Fin", None), ("il", "il", "PRON", "nsubj", 4, None, None), ("restait", "rester", "VERB", "ROOT", 4, "Fin", None), (".", ".", "PUNCT", "punct", 4, None, None)]),
-        (2, 0, [("Le", "le", "DET", "det", 1, None, None), ("chien", "chien", "NOUN", "nsubj:pass", 3, None, None), ("est", "être", "AUX", "aux:pass", 3, "Fin", None), ("poursuivi", "poursuivre", "VERB", "ROOT", 3, "Part", "Pass"), ("qui", "qui", "PRON", "nsubj", 5, None, None), ("court", "courir", "VERB", "acl:relcl", 1, "Fin", None)]),
-        (2, 1, [("Silence", "silence", "NOUN", "ROOT", 0, None, None), ("!", "!", "PUNCT", "punct", 0, None, None)]),
-        (2, 2, [("À", "à", "ADP", "case", 2, None, None), ("la", "le", "DET", "det", 2, None, None), ("manière", "manière", "NOUN", "obl", 3, None, None), ("chante", "chanter", "VERB", "ROOT", 3, "Fin", None), ("Paris", "Paris", "PROPN", "nsubj", 3, None, None), ("vite", "vite", "ADV", "advmod", 3, None, None)]),
-    ]
-    for d, s, toks in sentences:
-        at = 0
-        for i, (text, lemma, upos, dep, head, form, voice) in enumerate(toks):
-            yield (d, s, i, text, text.lower(), lemma, upos, dep, head, form, voice, upos == "PUNCT", text.isalpha(), at)
-            at += len(text) + 1
-
-
-PARSES = list(_parse_rows())
-_PV = _values("parses", "doc_id, sent_id, tok_id, text, lower, lemma, upos, dep, head_id, verb_form, voice, is_punct, is_alpha, start", PARSES)
-
-
-def _parses(spark):
-    return spark.createDataFrame(PARSES, _PARSE)
+# ---- dependency trees: shallow parses of the documents --------------------------------
+_UPOS = " ".join(f"WHEN starts_with(category, '{c}') THEN '{u}'" for c, u in syntax.CATEGORY_UPOS.items())
+_PARSED = rf"""{_SENT}, {_LEX}, pt AS (SELECT doc_id, pos AS sent_id, unnest(range(len(t))) AS tok_id, unnest(t) AS text FROM (SELECT doc_id, pos, regexp_extract_all(sentence, '{_W}+[''’]?|[.,!?;:]') AS t FROM sent)),
+pl AS (SELECT pt.*, lower(text) AS lower, lex.lemma AS known, lower(lex.category) AS category FROM pt LEFT JOIN lex ON lower(text) = form),
+pu AS (SELECT doc_id, sent_id, tok_id, text, lower, coalesce(known, lower) AS lemma, regexp_matches(text, '^[.,!?;:]$') AS is_punct, regexp_matches(text, '^\p{{L}}+$') AS is_alpha,
+  CASE WHEN regexp_matches(text, '^[.,!?;:]$') THEN 'PUNCT' WHEN regexp_matches(text, '[''’]$') THEN 'DET' WHEN lower IN ({_list(config.SUBORDINATORS)}) THEN 'SCONJ' WHEN known IN ({_list(config.FUNCTION_LEMMAS)}) THEN 'AUX' {_UPOS} ELSE 'NOUN' END AS upos FROM pl),
+pv AS (SELECT *, CASE WHEN upos IN ('VERB', 'AUX') THEN CASE WHEN ends_with(lower, 'é') THEN 'Part' ELSE 'Fin' END END AS verb_form FROM pu),
+pw AS (SELECT *, lag(lower) OVER w AS b_lower, lag(upos) OVER w AS b_upos, lead(upos) OVER w AS n_upos, CASE WHEN verb_form = 'Part' AND upos = 'VERB' AND lag(upos) OVER w = 'AUX' THEN 'Pass' END AS voice FROM pv WINDOW w AS (PARTITION BY doc_id, sent_id ORDER BY tok_id)),
+px AS (SELECT *, lead(voice) OVER w AS n_voice, coalesce(min(tok_id) FILTER (WHERE upos = 'VERB') OVER s, min(tok_id) FILTER (WHERE upos = 'AUX') OVER s, 0) AS root FROM pw WINDOW w AS (PARTITION BY doc_id, sent_id ORDER BY tok_id), s AS (PARTITION BY doc_id, sent_id)),
+py AS (SELECT *, tok_id = root AS is_root, coalesce(bool_or(tok_id = root AND coalesce(voice = 'Pass', false)) OVER (PARTITION BY doc_id, sent_id), false) AS passive, coalesce(upos = 'VERB' AND b_lower = 'qui' AND tok_id >= 2 AND tok_id <> root, false) AS relative,
+  coalesce(upos = 'AUX' AND n_voice = 'Pass' AND tok_id <> root, false) AS carries, coalesce(upos IN ('DET', 'ADP', 'ADJ') AND (n_upos IN ('NOUN', 'PROPN') OR (upos = 'DET' AND n_upos = 'ADJ') OR (upos = 'ADP' AND n_upos = 'DET')) AND tok_id <> root, false) AS leans FROM px),
+parses AS MATERIALIZED (SELECT doc_id, sent_id, tok_id, text, lower, lemma, upos, verb_form, voice, is_punct, is_alpha, CASE WHEN is_root THEN tok_id WHEN relative THEN tok_id - 2 WHEN carries OR leans THEN tok_id + 1 ELSE root END AS head_id,
+  CASE WHEN is_root THEN 'ROOT' WHEN is_punct THEN 'punct' WHEN relative THEN 'acl:relcl' WHEN carries THEN 'aux:pass' WHEN upos = 'VERB' THEN CASE WHEN b_upos = 'SCONJ' THEN 'advcl' ELSE 'conj' END
+  WHEN upos IN ('NOUN', 'PROPN', 'PRON') THEN CASE WHEN tok_id < root THEN CASE WHEN passive THEN 'nsubj:pass' ELSE 'nsubj' END ELSE 'obj' END WHEN upos = 'ADV' THEN 'advmod' WHEN upos = 'DET' THEN 'det' WHEN upos = 'ADP' THEN 'case' WHEN upos = 'ADJ' THEN 'amod' ELSE 'dep' END AS dep FROM py)"""
+_DEPTH = "up AS (SELECT doc_id, sent_id, tok_id, head_id AS at, (head_id <> tok_id)::INT AS d FROM parses WHERE NOT is_punct UNION ALL SELECT up.doc_id, up.sent_id, up.tok_id, p.head_id, d + 1 FROM up JOIN parses p ON p.doc_id = up.doc_id AND p.sent_id = up.sent_id AND p.tok_id = up.at WHERE p.head_id <> p.tok_id AND d < 100), dp AS (SELECT p.doc_id, p.sent_id, coalesce(max(d), 0) AS depth FROM (SELECT DISTINCT doc_id, sent_id FROM parses) p LEFT JOIN up USING (doc_id, sent_id) GROUP BY ALL)"
+_SYNTAX = rf"""kd AS (SELECT doc_id, sent_id, head_id AS tok_id, bool_or(coalesce(upos = 'AUX' AND verb_form = 'Fin', false)) AS aux, bool_or(dep IN ('aux:pass', 'nsubj:pass')) AS pass FROM parses WHERE head_id <> tok_id GROUP BY ALL),
+sy AS (SELECT p.*, coalesce((p.upos = 'VERB' AND (p.verb_form = 'Fin' OR aux)) OR (p.upos = 'AUX' AND p.verb_form = 'Fin' AND p.dep IN ({_list(syntax.CLAUSE_DEPS)})), false) AS pred, coalesce(p.voice = 'Pass', false) OR coalesce(pass, false) AS passive, coalesce(h.upos IN ('VERB', 'AUX') AND h.dep = 'advcl' AND h.tok_id < h.head_id, false) AS circ
+  FROM parses p LEFT JOIN kd USING (doc_id, sent_id, tok_id) LEFT JOIN parses h ON h.doc_id = p.doc_id AND h.sent_id = p.sent_id AND h.tok_id = p.head_id),
+sm AS (SELECT doc_id, sent_id, bool_or(pred) AND NOT bool_or(pred AND passive) AS active, NOT bool_or(coalesce(upos IN ('VERB', 'AUX') AND verb_form = 'Fin', false)) AS nominal, count(*) FILTER (WHERE dep = 'acl:relcl') AS rel, count(*) FILTER (WHERE dep IN ({_list(config.SUBORDINATE_DEPS)})) AS sub,
+  bool_or(lower = 'comme' AND NOT circ) AS comme, replace(replace(string_agg(lower, ' ' ORDER BY tok_id), '’', chr(39)), chr(39) || ' ', chr(39)) AS plain, count(*) FILTER (WHERE upos = 'NOUN') AS a, count(*) FILTER (WHERE upos = 'PROPN') AS b, count(*) FILTER (WHERE upos IN ('VERB', 'AUX')) AS c, count(*) FILTER (WHERE upos = 'ADJ') AS d, count(*) FILTER (WHERE upos = 'ADV') AS e FROM sy GROUP BY ALL),
+sn AS (SELECT *, comme OR {" OR ".join(f"contains(plain, {_list([m])})" for m in config.COMPARISON_MARKERS)} AS comparison FROM sm)"""
+
+
+def _parses(spark, sf_dir):
+    return syntax.shallow_parses(docs(spark, sf_dir), lexicons.small_lexicon(spark))
+
+
+@query(f"WITH RECURSIVE {_PARSED}, {_DEPTH} SELECT doc_id, sent_id, depth::BIGINT AS depth FROM dp")
+def dependency_depth(spark, sf_dir):
+    return syntax.sentence_measures(_parses(spark, sf_dir)).select("doc_id", "sent_id", "depth")
 
 
-@query(f"""WITH RECURSIVE {_PV}, up AS (SELECT doc_id, sent_id, tok_id, head_id AS at, (head_id <> tok_id)::INT AS d FROM parses WHERE NOT is_punct UNION ALL SELECT up.doc_id, up.sent_id, up.tok_id, p.head_id, d + 1 FROM up JOIN parses p ON p.doc_id = up.doc_id AND p.sent_id = up.sent_id AND p.tok_id = up.at WHERE p.head_id <> p.tok_id AND d < 100)
-SELECT doc_id, sent_id, max(d)::BIGINT AS depth FROM up GROUP BY ALL""")
-def dependency_depth(spark, sf_dir):
-    return syntax.sentence_measures(_parses(spark)).select("doc_id", "sent_id", "depth")
+@query(f"WITH {_PARSED}, {_SYNTAX} SELECT doc_id, sent_id, coalesce(comparison, false) AS comparison FROM sn")
+def comparison_sentences(spark, sf_dir):
+    """Sentences that compare: `comme` outside an adverbial clause, or a marker."""
+    return syntax.sentence_measures(_parses(spark, sf_dir)).select("doc_id", "sent_id", "comparison")
 
 
-@query(f"""WITH {_PV}, c AS (SELECT p.doc_id, p.sent_id, p.tok_id, bool_or(k.upos = 'AUX' AND k.verb_form = 'Fin') AS aux, bool_or(k.dep IN ('aux:pass', 'nsubj:pass')) AS pass FROM parses p LEFT JOIN parses k ON k.doc_id = p.doc_id AND k.sent_id = p.sent_id AND k.head_id = p.tok_id AND k.tok_id <> p.tok_id GROUP BY ALL),
-t AS (SELECT p.*, coalesce((upos = 'VERB' AND (verb_form = 'Fin' OR aux)) OR (upos = 'AUX' AND verb_form = 'Fin' AND dep IN ({_list(syntax.CLAUSE_DEPS)})), false) AS pred, coalesce(voice = 'Pass', false) OR coalesce(pass, false) AS passive FROM parses p JOIN c USING (doc_id, sent_id, tok_id)),
-s AS (SELECT doc_id, sent_id, bool_or(pred) AND NOT bool_or(pred AND passive) AS active, NOT coalesce(bool_or(upos IN ('VERB', 'AUX') AND verb_form = 'Fin'), false) AS nominal, count(*) FILTER (WHERE dep = 'acl:relcl') AS rel, count(*) FILTER (WHERE dep IN ({_list(config.SUBORDINATE_DEPS)})) AS sub FROM t GROUP BY ALL)
-SELECT doc_id, sum(rel)::BIGINT AS relative_clause_count, sum(sub)::BIGINT AS subordinate_clause_count, round(avg(active::INT), 6) AS active_voice_ratio, round(avg(nominal::INT), 6) AS nominal_sentence_ratio FROM s GROUP BY doc_id""")
+@query(f"""WITH {_PARSED}, {_SYNTAX}
+SELECT doc_id, sum(rel)::BIGINT AS relative_clause_count, sum(sub)::BIGINT AS subordinate_clause_count, round(avg(active::INT), 6) AS active_voice_ratio, round(avg(nominal::INT), 6) AS nominal_sentence_ratio FROM sn GROUP BY doc_id""")
 def clause_measures(spark, sf_dir):
-    out = syntax.document_measures(syntax.sentence_measures(_parses(spark)))
+    out = syntax.document_measures(syntax.sentence_measures(_parses(spark, sf_dir)))
     return _r(out.select("doc_id", "relative_clause_count", "subordinate_clause_count", "active_voice_ratio", "nominal_sentence_ratio"), "active_voice_ratio", "nominal_sentence_ratio")
 
 
-@query()
+_SHARES = ", ".join(f"round(CASE WHEN sum(a + b + c + d + e) > 0 THEN sum({x}) / sum(a + b + c + d + e) ELSE 0 END, 6) AS {n}" for x, n in zip("abcde", ("pos_common_noun_ratio", "pos_proper_noun_ratio", "pos_verb_ratio", "pos_adjective_ratio", "pos_adverb_ratio")))
+
+
+@query(f"""WITH RECURSIVE {_PARSED}, {_DEPTH}, {_SYNTAX} SELECT doc_id, round(avg(depth), 6) AS average_syntactic_depth, sum(rel)::BIGINT AS relative_clause_count, sum(sub)::BIGINT AS subordinate_clause_count,
+  round(sum(rel) / count(*), 6) AS relative_clause_ratio, round(sum(sub) / count(*), 6) AS subordinate_clause_ratio, sum(nominal::INT)::BIGINT AS nominal_sentence_count, round(avg(nominal::INT), 6) AS nominal_sentence_ratio,
+  round(avg(active::INT), 6) AS active_voice_ratio, round(avg(comparison::INT), 6) AS metaphorical_comme_ratio, {_SHARES} FROM sn JOIN dp USING (doc_id, sent_id) GROUP BY doc_id""")
 def syntax_document_measures(spark, sf_dir):
-    return syntax.document_measures(syntax.sentence_measures(_parses(spark)))
+    out = syntax.document_measures(syntax.sentence_measures(_parses(spark, sf_dir)))
+    return _r(out, *(c for c in out.columns if c != "doc_id" and not c.endswith("_count")))
 
 
-@query(f"""WITH {_PV}, n AS (SELECT doc_id, count(*) FILTER (WHERE upos = 'NOUN') AS a, count(*) FILTER (WHERE upos = 'PROPN') AS b, count(*) FILTER (WHERE upos IN ('VERB', 'AUX')) AS c, count(*) FILTER (WHERE upos = 'ADJ') AS d, count(*) FILTER (WHERE upos = 'ADV') AS e FROM parses GROUP BY doc_id)
-SELECT doc_id, round(a / (a + b + c + d + e), 6) AS pos_common_noun_ratio, round(b / (a + b + c + d + e), 6) AS pos_proper_noun_ratio, round(c / (a + b + c + d + e), 6) AS pos_verb_ratio, round(d / (a + b + c + d + e), 6) AS pos_adjective_ratio, round(e / (a + b + c + d + e), 6) AS pos_adverb_ratio FROM n""")
+@query(f"WITH {_PARSED}, {_SYNTAX} SELECT doc_id, {_SHARES} FROM sn GROUP BY doc_id")
 def pos_distribution(spark, sf_dir):
     cols = ["pos_common_noun_ratio", "pos_proper_noun_ratio", "pos_verb_ratio", "pos_adjective_ratio", "pos_adverb_ratio"]
-    return _r(syntax.document_measures(syntax.sentence_measures(_parses(spark))).select("doc_id", *cols), *cols)
+    return _r(syntax.document_measures(syntax.sentence_measures(_parses(spark, sf_dir))).select("doc_id", *cols), *cols)
 
 
-@query()
+@query(f"""WITH {_PARSED}, {_values('uc', 'tag, cat', list(syntax.UPOS_CATEGORIES.items()))}, cx AS (SELECT doc_id, lower AS word, lemma, coalesce(cat, lower(upos)) AS category, row_number() OVER (PARTITION BY doc_id ORDER BY sent_id, tok_id) - 1 AS pos FROM parses LEFT JOIN uc ON upos = tag WHERE is_alpha AND length(lower) >= 2),
+st AS (SELECT cx.*, lex.lemma AS s_lemma, CASE WHEN starts_with(lower(lex.category), cx.category) THEN lex.lemma WHEN coalesce(nullif(cx.lemma, ''), word) <> word THEN cx.lemma END AS direct FROM cx LEFT JOIN lex ON word = form),
+op AS (SELECT DISTINCT word, category FROM st WHERE direct IS NULL AND length(word) > 3), ask AS (SELECT word, category, left(word, n::INT) AS prefix FROM (SELECT *, unnest(range(3, length(word))) AS n FROM op)),
+kn AS (SELECT DISTINCT lower(category) AS k, lemma AS k_lemma, left(form, n::INT) AS prefix FROM (SELECT *, unnest(range(3, length(form) + 1)) AS n FROM lex)), gu AS (SELECT word, ask.category, k_lemma AS guess FROM ask JOIN kn USING (prefix) WHERE starts_with(k, ask.category)
+  QUALIFY row_number() OVER (PARTITION BY word, ask.category ORDER BY length(prefix) DESC, levenshtein(word, k_lemma), length(k_lemma), k_lemma) = 1)
+SELECT doc_id, word AS form, arg_max(coalesce(direct, guess, s_lemma, nullif(lemma, ''), word), pos) AS lemma FROM st LEFT JOIN gu USING (word, category) GROUP BY doc_id, word""")
 def contextual_lemmas(spark, sf_dir):
-    return lexicons.contextual_lemmas(syntax.contextual_tokens(_parses(spark)), lexicons.small_lexicon(spark))
+    return lexicons.contextual_lemmas(syntax.contextual_tokens(_parses(spark, sf_dir)), lexicons.small_lexicon(spark))
 
 
 # ---- windows and cleaning ------------------------------------------------------------
@@ -397,15 +419,27 @@ def char_window_first(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", T.first_window_end(F.col("text"), 3000).cast("long").alias("window_end"))
 
 
-@query()
+_FOLDED = rf"""{_DOCS}, e AS (SELECT doc_id, text, list_transform(string_split(regexp_replace(text, '([.!?…]+["»”’'')\]]*)(\s|$)', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: length(x)) AS l FROM d),
+f AS (SELECT doc_id, text, list_reduce(list_transform(l, lambda v: {{'n': v::BIGINT, 's': 0::BIGINT, 'o': []::STRUCT(s BIGINT, e BIGINT)[]}}), lambda a, x: CASE WHEN a.n + x.n - a.s >= 3000 THEN {{'n': a.n + x.n, 's': a.n + x.n, 'o': list_append(a.o, {{'s': a.s, 'e': a.n + x.n}})}} ELSE {{'n': a.n + x.n, 's': a.s, 'o': a.o}} END, {{'n': 0::BIGINT, 's': 0::BIGINT, 'o': []::STRUCT(s BIGINT, e BIGINT)[]}}) AS a FROM e),
+g AS (SELECT doc_id, list_filter(list_transform(CASE WHEN a.n > a.s THEN list_append(a.o, {{'s': a.s, 'e': a.n}}) ELSE a.o END, lambda w: {{'s': w.s, 'e': w.e, 'f': {_strip('substr(text, w.s + 1, w.e - w.s)')}}}), lambda w: w.f <> '') AS w FROM f)"""
+
+
+@query(f"WITH {_FOLDED}, u AS (SELECT doc_id, unnest(range(len(w))) AS window_index, unnest(w) AS w FROM g) SELECT doc_id, window_index, w.s AS start, w.e AS \"end\", sha256(w.f) AS fragment_sha256 FROM u")
 def char_windows(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", F.posexplode(T.char_windows(F.col("text"), 3000)).alias("window_index", "w")).select("doc_id", "window_index", "w.start", "w.end", F.sha2("w.fragment", 256).alias("fragment_sha256"))
+    w = docs(spark, sf_dir).select("doc_id", F.posexplode(T.char_windows(F.col("text"), 3000)).alias("window_index", "w"))
+    return w.select("doc_id", *(F.col(c).cast("long").alias(c.split(".")[-1]) for c in ("window_index", "w.start", "w.end")), F.sha2("w.fragment", 256).alias("fragment_sha256"))
 
 
-@query()
+_PARAGRAPHS = rf"""{_DOCS}, pp AS (SELECT doc_id, list_transform(list_filter(string_split_regex(replace(text, chr(10), chr(10) || chr(10)), '\n\s*\n'), lambda p: {_strip('p')} <> ''), lambda p: {_strip('p')}) AS p FROM d),
+pf AS (SELECT doc_id, list_reduce(list_transform(p, lambda v: {{'o': []::VARCHAR[], 'h': [v], 'n': len({_sql_words('v')})::BIGINT}}), lambda a, x: CASE WHEN a.n + x.n >= 200 THEN {{'o': list_append(a.o, array_to_string(list_concat(a.h, x.h), chr(10) || chr(10))), 'h': []::VARCHAR[], 'n': 0::BIGINT}} ELSE {{'o': a.o, 'h': list_concat(a.h, x.h), 'n': a.n + x.n}} END, {{'o': []::VARCHAR[], 'h': []::VARCHAR[], 'n': 0::BIGINT}}) AS a FROM pp),
+pg AS (SELECT doc_id, CASE WHEN len(a.h) > 0 AND (a.n >= 200 * {config.FINAL_WINDOW_RATIO} OR len(a.o) = 0) THEN list_append(a.o, array_to_string(a.h, chr(10) || chr(10))) ELSE a.o END AS o FROM pf), pw AS (SELECT doc_id, unnest(range(len(o))) AS window_index, unnest(o) AS w FROM pg)"""
+
+
+@query(f"WITH {_PARAGRAPHS} SELECT doc_id, window_index, len({_sql_words('w')}) AS words FROM pw")
 def paragraph_windows(spark, sf_dir):
     lines = docs(spark, sf_dir).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
-    return lines.select("doc_id", F.posexplode(T.paragraph_windows(F.col("text"), 200)).alias("window_index", "w")).select("doc_id", "window_index", F.size(T.tokenize(F.col("w"))).alias("words"))
+    w = lines.select("doc_id", F.posexplode(T.paragraph_windows(F.col("text"), 200)).alias("window_index", "w"))
+    return w.select("doc_id", F.col("window_index").cast("long").alias("window_index"), F.size(T.tokenize(F.col("w"))).cast("long").alias("words"))
 
 
 @query(f"""WITH {_DOCS}, b AS (SELECT doc_id, strlen(text) AS n FROM d), w AS (SELECT doc_id, n, CASE WHEN n < 1000 THEN [n] ELSE list_transform(range(n // 1000), lambda i: 1000::BIGINT) END AS s FROM b), u AS (SELECT doc_id, unnest(range(len(s))) AS window_index, unnest(s) AS bytes FROM w) SELECT doc_id, window_index, bytes FROM u""")
@@ -443,9 +477,29 @@ def gzip_window_ratio(spark, sf_dir):
     return compress.gzip_window_ratio(docs(spark, sf_dir), 4096)
 
 
-@query()
+_TAGS = "|".join((*html.BLOCK_TAGS, "hr"))
+_SKIPPED = "|".join(f"<{t}\\b[^>]*>.*?(?:</{t}\\s*>|\\z)" for t in html.SKIPPED_ELEMENTS)
+_NOT_END = "NOT regexp_matches({0}, '" + html.SENTENCE_END + "')"
+_LINE = {k: f"(length({{0}}) BETWEEN {a} AND {b} AND len(string_split({{0}}, ' ')) <= {w} AND contains({{0}}, '{h}') AND {_NOT_END}" + "".join(f" AND NOT starts_with({{0}}, '{n}')" for n in no) + ")" for k, (a, b, w, h, no) in html.LINES.items()}
+_LEVEL = " ".join(f"WHEN block = '{t}' THEN '{m}'" for t, m in html.MARKS.items())
+
+
+@query(rf"""WITH bo AS (SELECT page_id, row_number() OVER () AS row, regexp_replace(regexp_extract(html, '(?is)<body\b[^>]*>(.*?)(?:</body\s*>|\z)', 1), '(?is)<!--.*?(?:-->|\z)|{_SKIPPED}|<[!?][^>]*>', '', 'g') AS b FROM pages WHERE html IS NOT NULL),
+pa AS (SELECT page_id, row, string_split(regexp_replace(b, '(?i)<(/?(?:{_TAGS})[\s/>])', chr(1) || '\1', 'g'), chr(1)) AS p FROM bo), pb AS (SELECT page_id, row, unnest(range(len(p))) AS pos, unnest(p) AS part FROM pa),
+pc AS (SELECT *, CASE WHEN pos > 0 AND contains(part, '>') THEN left(part, strpos(part, '>') - 1) ELSE '' END AS head, CASE WHEN pos = 0 THEN part WHEN contains(part, '>') THEN substr(part, strpos(part, '>') + 1) ELSE '' END AS raw FROM pb),
+pd AS (SELECT page_id, row, pos, lower(regexp_extract(head, '^/?([A-Za-z0-9]+)', 1)) AS tag, CASE WHEN pos = 0 THEN 'start' WHEN NOT contains(part, '>') THEN 'single' WHEN lower(regexp_extract(head, '^/?([A-Za-z0-9]+)', 1)) = 'hr' THEN 'rule' WHEN starts_with(head, '/') THEN 'close' WHEN ends_with(head, '/') THEN 'single' ELSE 'open' END AS kind, regexp_matches(head, '(?i)\sclass\s*=\s*["'']?[^"''\s]') AS classed,
+  trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, '(?s)</?[A-Za-z][^>]*(?:>|\z)', '', 'g'), '&quot;?', '"', 'g'), '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&amp;?', '&', 'g'), '[\s\x0B\x1C-\x1F\x{{85}}\p{{Z}}]+', ' ', 'g')) AS text FROM pc),
+pe AS (SELECT *, sum(CASE WHEN tag = 'blockquote' THEN CASE kind WHEN 'open' THEN 1 WHEN 'close' THEN -1 ELSE 0 END ELSE 0 END) OVER w AS s, coalesce(last_value(CASE kind WHEN 'open' THEN tag WHEN 'close' THEN '' END IGNORE NULLS) OVER w, '') AS block, coalesce(lead(kind) OVER o = 'close', false) AS ended FROM pd WINDOW o AS (PARTITION BY row ORDER BY pos), w AS (PARTITION BY row ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+pf AS (SELECT *, s > least(0, min(s) OVER w) AS quoted, CASE WHEN kind = 'close' THEN lag(block) OVER o IN ({_list(html.HEADINGS)}) END AS closed FROM pe WINDOW o AS (PARTITION BY row ORDER BY pos), w AS (PARTITION BY row ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+pg AS (SELECT *, coalesce(last_value(closed IGNORE NULLS) OVER (PARTITION BY row ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS below FROM pf),
+ph AS (SELECT *, coalesce(last_value(CASE kind WHEN 'open' THEN tag = 'p' AND classed AND below WHEN 'close' THEN false END IGNORE NULLS) OVER (PARTITION BY row ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), false) AS sub FROM pg),
+pi AS (SELECT *, CASE WHEN NOT ended OR block = '' OR (sub AND NOT {_LINE['subtitle'].format('text')}) THEN '' WHEN quoted THEN '>' WHEN sub THEN '##' {_LEVEL} ELSE '' END AS mark FROM ph),
+pj AS (SELECT page_id, row, pos, 0 AS k, '---' AS block FROM pi WHERE kind = 'rule' UNION ALL SELECT page_id, row, pos, 1, CASE WHEN text = '*' AND mark = '' THEN '---' WHEN mark = '' THEN text ELSE mark || ' ' || text END FROM pi WHERE text <> '' AND NOT regexp_matches(text, '{html.UNKNOWN}')),
+pk AS (SELECT *, coalesce(last_value(CASE WHEN NOT {_LINE['attribution'].format('block')} THEN starts_with(block, '> ') END IGNORE NULLS) OVER (PARTITION BY row ORDER BY pos, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS cited FROM pj),
+pl AS (SELECT page_id, row, pos, k, CASE WHEN cited AND {_LINE['attribution'].format('block')} THEN '> ' || block ELSE block END AS block FROM pk), pm AS (SELECT *, lag(block) OVER (PARTITION BY row ORDER BY pos, k) AS last FROM pl)
+SELECT page_id, row_number() OVER (PARTITION BY row ORDER BY pos, k) - 1 AS pos, block FROM pm WHERE last IS NULL OR last <> block""")
 def html_blocks(spark, sf_dir):
-    return html.blocks(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "pos", "block")
+    return html.blocks(files.dealt(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"))).select("page_id", F.col("pos").cast("long").alias("pos"), "block")
 
 
 # ---- corpus analytics: one entity per source -------------------------------------------
@@ -492,11 +546,11 @@ def burrows_distance(spark, sf_dir):
     return _r(_pairs(spark, sf_dir), "distance")
 
 
-@query(f"""WITH {_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY "left" ORDER BY distance, "right") AS rank FROM bothways WHERE "left" IN ('src0', 'src1', 'src2') AND "right" NOT IN ('src0', 'src1', 'src2')) SELECT "left", "right", round(distance, 6) AS distance, rank FROM r WHERE rank <= 5""")
+@query(f"""WITH {_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY "left" ORDER BY distance, "right") AS rank FROM bothways) SELECT "left", "right", round(distance, 6) AS distance, rank FROM r WHERE rank <= 5""")
 def burrows_top5(spark, sf_dir):
+    """The five nearest of every source."""
     names = entity_long(spark, sf_dir).select("entity").distinct()
-    few = F.col("entity").isin("src0", "src1", "src2")
-    return _r(corpus.nearest(_pairs(spark, sf_dir), names.where(few), names.where(~few)), "distance").withColumn("rank", F.col("rank").cast("long"))
+    return _r(corpus.nearest(_pairs(spark, sf_dir), names, names), "distance").withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f'WITH {_PAIRS} SELECT "left" AS entity, round(min(distance), 6) AS nearest FROM bothways GROUP BY "left"')
@@ -504,10 +558,21 @@ def singularity(spark, sf_dir):
     return _r(corpus.singularity(_pairs(spark, sf_dir)), "nearest")
 
 
-@query(f"""WITH {_PAIRS}, n AS (SELECT b."left", b."right", any_value(b.distance) AS distance, 100.0 * count(*) FILTER (WHERE round(p.distance, 12) >= round(b.distance, 12)) / count(*) AS percentile FROM bothways b CROSS JOIN pairs p GROUP BY b."left", b."right")
-SELECT "left", "right", round(distance, 6) AS distance, round(percentile, 6) AS percentile FROM n""")
+_NEAR = f"""{_PAIRS}, nb AS (SELECT b."left", b."right", any_value(b.distance) AS distance, 100.0 * count(*) FILTER (WHERE round(p.distance, 12) >= round(b.distance, 12)) / count(*) AS percentile FROM bothways b CROSS JOIN pairs p GROUP BY b."left", b."right"),
+nr AS (SELECT *, row_number() OVER (PARTITION BY "left" ORDER BY percentile DESC, distance, "right") AS rank FROM nb)"""
+
+
+@query(f'WITH {_NEAR} SELECT "left", "right", round(distance, 6) AS distance, round(percentile, 6) AS percentile, rank FROM nr')
 def neighborhood_percentile(spark, sf_dir):
-    return _r(corpus.neighbourhood(_pairs(spark, sf_dir)), "distance", "percentile").drop("rank")
+    return _r(corpus.neighbourhood(_pairs(spark, sf_dir)), "distance", "percentile").withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"""WITH {_NEAR} SELECT "left", "right", round(distance, 6) AS distance, round(percentile, 6) AS percentile, rank FROM nr WHERE rank <= 3 OR "right" = 'src7'""")
+def neighborhood_top(spark, sf_dir):
+    """The three nearest of every source, and one source pinned wherever it ranks."""
+    pairs = _pairs(spark, sf_dir)
+    pinned = corpus.both_ways(pairs).where("right = 'src7'")
+    return _r(corpus.neighbourhood(pairs, top=3, pinned=pinned), "distance", "percentile").withColumn("rank", F.col("rank").cast("long"))
 
 
 RADAR_AXES = [("punctuation_per_100_words", False), ("burstiness", False), ("type_token_ratio", False), ("sentence_length_std_dev", False), ("avg_sentence_length", True)]
@@ -557,10 +622,10 @@ def mds_map(spark, sf_dir):
     return corpus.mds(_pairs(spark, sf_dir))
 
 
-@query(f"""WITH {_CORPUS}, w AS (PIVOT (SELECT metric, entity, round(value, 6) AS v FROM long WHERE entity IN ('src0', 'src1', 'src2')) ON entity IN ('src0', 'src1', 'src2') USING first(v) GROUP BY metric) SELECT * FROM w""")
+@query(f"""WITH {_CORPUS}, w AS (PIVOT (SELECT metric, entity, round(value, 6) AS v FROM long) ON entity IN ({_list([f"src{k}" for k in range(20)])}) USING first(v) GROUP BY metric) SELECT * FROM w""")
 def comparison_table(spark, sf_dir):
     """metric x entity."""
-    return entity_long(spark, sf_dir).where(F.col("entity").isin("src0", "src1", "src2")).groupBy("metric").pivot("entity", ["src0", "src1", "src2"]).agg(F.round(F.first("value") + 1e-9, 6))
+    return reports.compared(_r(entity_long(spark, sf_dir), "value"))
 
 
 @query()
@@ -569,9 +634,27 @@ def metric_vector(spark, sf_dir):
     return metrics.metric_vector(docs(spark, sf_dir), lexicons.small_lexicon(spark), lexicons.small_families(spark), lexicons.small_sounds(spark))
 
 
-@query()
+def _raw(name: str) -> str:
+    """A registered query's SQL without rounding, as a subquery."""
+    return "(" + SQL[name].replace("round(", "(").replace(" + 1e-9, 6)", ")") + ")"
+
+
+_WINDOWED = rf"d AS (SELECT doc_id, {_strip('substr(text, 1, e)')} AS text FROM (SELECT doc_id, text, CASE WHEN length(text) <= 20000 THEN length(text) WHEN gap > 0 THEN 20000 + gap ELSE length(text) END AS e FROM (SELECT doc_id, coalesce(text, '') AS text, length(regexp_extract(substr(coalesce(text, ''), 20001), '(?s)^(.*?[.!?…]+[\"»”’'')\]]*)(?:\s|$)', 1)) AS gap FROM documents)))"
+
+
+@query(f"""WITH m AS (SELECT doc_id, coalesce(avg_sentence_length, 0) AS l, coalesce(sentence_length_amplitude, 0) AS a, coalesce(burstiness, 0) AS b, coalesce(filtered_repetition_rate, 0) AS f, coalesce(structural_repetition_rate, 0) AS r, coalesce(structural_diversity, 0) AS d, coalesce(structural_rhythm, 0) AS y FROM (SELECT doc_id FROM documents)
+  LEFT JOIN {_raw('sentence_length_stats')} USING (doc_id) LEFT JOIN {_raw('lexical_repetition').replace(_DOCS, _WINDOWED)} USING (doc_id) LEFT JOIN {_raw('structural_repetition')} USING (doc_id) LEFT JOIN {_raw('structural_diversity')} USING (doc_id) LEFT JOIN {_raw('structural_rhythm')} USING (doc_id)),
+p AS (SELECT doc_id, 1 - greatest(0, least(1, CASE WHEN l > 0 THEN a / l ELSE 0 END / 2)) AS sentence_amplitude, 1 - greatest(0, least(1, b)) AS burstiness_uniformity, greatest(0, least(1, f)) AS vocabulary_repetition, greatest(0, least(1, r)) AS structure_repetition, 1 - greatest(0, least(1, d)) AS structure_similarity, 1 - greatest(0, least(1, y)) AS structure_rhythm FROM m)
+SELECT doc_id, round(sentence_amplitude, 6) AS sentence_amplitude, round(burstiness_uniformity, 6) AS burstiness_uniformity, round(vocabulary_repetition, 6) AS vocabulary_repetition, round(structure_repetition, 6) AS structure_repetition, round(structure_similarity, 6) AS structure_similarity, round(structure_rhythm, 6) AS structure_rhythm,
+  round(100 * (sentence_amplitude + burstiness_uniformity + vocabulary_repetition + structure_repetition + structure_similarity + structure_rhythm) / 6) AS uniformity_score FROM p""")
 def uniformity(spark, sf_dir):
-    return rhythm.uniformity(metric_vector(spark, sf_dir))
+    """Six signals of uniformity, of those measures only that they need."""
+    d, lexicon = docs(spark, sf_dir), lexicons.small_lexicon(spark)
+    sigs = structure.signatures(d, lexicon)
+    near = repetition.repetition_words(tokens.repetition_tokens(metrics.first_window(d)), lexicon)
+    parts = [rhythm.sentence_lengths(tokens.sentences(d)), repetition.rate(near, repetition.lexical_flags(near, True), "filtered_repetition_rate"), structure.structural_repetition(sigs), structure.structural_rhythm(sigs), structure.structural_diversity(sigs)]
+    out = rhythm.uniformity(functools.reduce(lambda a, b: a.join(b, "doc_id", "left"), parts, d.select("doc_id")))
+    return _r(out, *(c for c in out.columns if c not in ("doc_id", "uniformity_score")))
 
 
 @query(f"""WITH {_DOCS}, r AS (SELECT doc_id, {_sql_words('text')} AS w, {_sql_sentences('text')} AS s FROM d)
@@ -590,31 +673,43 @@ def sides(spark, sf_dir):
     return c.groupBy("side").agg(F.count(F.lit(1)).alias("turns"), F.sum("n").alias("words"))
 
 
-@query()
+_COMPARED = ["avg_sentence_length", "avg_sentence_word_count", "median_sentence_length", "sentence_length_p10", "sentence_length_p90", "sentence_length_amplitude", "sentence_length_std_dev", "sentence_word_std_dev", "burstiness"]
+
+
+@query(f"""WITH {_PARAGRAPHS}, ws AS (SELECT doc_id, window_index, {_sql_sentences('w')} AS s FROM pw), wx AS (SELECT doc_id, window_index, unnest(range(len(s))) AS pos, unnest(s) AS sentence FROM ws), wr AS (SELECT doc_id, window_index, pos, length(sentence) AS len, len({_sql_words('sentence')}) AS words FROM wx),
+wt AS (SELECT *, abs(len - lag(len) OVER (PARTITION BY doc_id, window_index ORDER BY pos)) AS step FROM wr), wm AS (SELECT doc_id, window_index, avg(len) AS avg_sentence_length, avg(words) AS avg_sentence_word_count, quantile_cont(len, 0.5) AS median_sentence_length, quantile_cont(len, 0.1) AS sentence_length_p10, quantile_cont(len, 0.9) AS sentence_length_p90,
+  quantile_cont(len, 0.9) - quantile_cont(len, 0.1) AS sentence_length_amplitude, stddev_pop(len) AS sentence_length_std_dev, stddev_pop(words) AS sentence_word_std_dev, coalesce(avg(step) / avg(len), 0) AS burstiness FROM wt GROUP BY ALL)
+SELECT doc_id, count(*) AS windows, {", ".join(f"round(avg({c}), 6) AS {c}" for c in _COMPARED)}, any_value(len({_sql_words("text")})) AS word_count, any_value(len({_sql_sentences("text")})) AS sentence_count FROM wm JOIN (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS text FROM d) USING (doc_id) GROUP BY doc_id""")
 def comparable_windows(spark, sf_dir):
-    """Sentence measures averaged over paragraph windows of equal size."""
+    """Sentence measures averaged over paragraph windows of equal size, beside counts of the whole text."""
     lines = docs(spark, sf_dir).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
-    return metrics.comparable(lines, lambda d: rhythm.sentence_lengths(tokens.sentences(d)), 200)
+    whole = rhythm.basic_counts(lines).select("doc_id", "word_count", "sentence_count")
+    return _r(metrics.comparable(lines, lambda d: rhythm.sentence_lengths(tokens.sentences(d)), 200, whole), *_COMPARED)
 
 
-@query()
+@query(f"""WITH {_CORPUS}, q AS (SELECT metric, count(*) AS n, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM long GROUP BY metric), r AS (SELECT long.*, n < 4 OR value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS ok FROM long JOIN q USING (metric)),
+k AS (SELECT metric, count(*) FILTER (WHERE ok) AS k, avg(value) FILTER (WHERE ok) AS m1, stddev_pop(value) FILTER (WHERE ok) AS s1, avg(value) AS m0, stddev_pop(value) AS s0 FROM r GROUP BY metric),
+ax AS (SELECT metric, m0 AS m, row_number() OVER (ORDER BY metric) - 1 AS axis FROM k WHERE CASE WHEN k < 3 THEN s0 / abs(m0) ELSE s1 / abs(m1) END * 100 >= 10)
+SELECT entity, metric, axis, round(greatest(0.05, least(1.0, 0.5 + 1.25 * (value - m) / abs(m))), 6) AS radius FROM long JOIN ax USING (metric)""")
 def detail_radar(spark, sf_dir):
     """Radar of the measures whose dispersion reaches ten percent."""
     long = entity_long(spark, sf_dir)
     wide = [r.metric for r in corpus.dispersion(long).where("sigma >= 10").orderBy("metric").collect()]  # one row per measure
-    return corpus.radar(long, [(m, False) for m in wide]) if wide else corpus.radar(long, RADAR_AXES)
+    return _r(corpus.radar(long, [(m, False) for m in wide] or RADAR_AXES), "radius").withColumn("axis", F.col("axis").cast("long"))
 
 
-@query()
+@query(f"""WITH {_NEAR}, m AS (SELECT "left", substr("right", 1, 4) AS surname, count(*) AS works, avg(percentile) AS percentile FROM nr WHERE rank <= 5 GROUP BY ALL)
+SELECT "left", surname, works, round(percentile, 6) AS percentile, row_number() OVER (PARTITION BY "left" ORDER BY round(percentile, 9) DESC, surname) AS place FROM m""")
 def author_podium(spark, sf_dir):
     n = corpus.neighbourhood(_pairs(spark, sf_dir))
     authors = n.select(F.col("left").alias("entity")).distinct().withColumn("author", F.concat(F.lit("Anne "), F.substring("entity", 1, 4)))
-    return corpus.podium(n, authors)
+    return _r(corpus.podium(n, authors), "percentile").withColumn("place", F.col("place").cast("long"))
 
 
-@query()
+@query(f"""WITH {_CORPUS}, m AS (SELECT entity, string_agg('"' || metric || '":' || round(value, 6)::VARCHAR, ',' ORDER BY metric) AS m FROM long GROUP BY entity)
+SELECT substr(entity, 1, 4) AS author, '{{"author":"' || substr(entity, 1, 4) || '","works":[' || string_agg('{{"title":"' || entity || '","metrics":{{' || m || '}}}}', ',' ORDER BY entity) || ']}}' AS json FROM m GROUP BY 1""")
 def nested_export(spark, sf_dir):
-    long = entity_long(spark, sf_dir)
+    long = _r(entity_long(spark, sf_dir), "value")
     works = long.select("entity", F.substring("entity", 1, 4).alias("author"), F.col("entity").alias("title")).distinct()
     return reports.nested_json(long, works)
 
@@ -636,6 +731,6 @@ def canonical_authors(spark, sf_dir):
     return corpus.canonical_authors(d.select(name.alias("author"), F.col("doc_id").alias("seen")))
 
 
-@query("SELECT sha256(string_agg(doc_id || chr(0) || sha256(coalesce(text, '')) || chr(0), '' ORDER BY doc_id)) AS fingerprint FROM documents WHERE doc_id IS NOT NULL")
+@query("""WITH h AS (SELECT floor(doc_id / 65536) AS r, doc_id, sha256(coalesce(text, '')) AS s FROM documents), g AS (SELECT r, sha256(string_agg(coalesce(doc_id::VARCHAR, '') || chr(0) || s || chr(0), '' ORDER BY doc_id NULLS FIRST, s)) AS g FROM h GROUP BY r) SELECT sha256(string_agg(g, '' ORDER BY r NULLS FIRST)) AS fingerprint FROM g""")
 def corpus_fingerprint(spark, sf_dir):
     return incremental.fingerprint(docs(spark, sf_dir))

@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import io
 import unicodedata
+import zipfile
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
-def normal_form(c: Column) -> Column:
-    """Trimmed, lower-cased, composed accents (the French ones)."""
-    out = F.lower(F.trim(c))
-    for base, marks in (("a", "̀̂̈"), ("e", "̀́̂̈"), ("i", "̂̈"), ("o", "̂̈"), ("u", "̀̂̈"), ("c", "̧"), ("y", "̈")):
-        for m in marks:
+@F.pandas_udf(StringType())
+def composed(text: pd.Series) -> pd.Series:
+    """NFC, which no built-in gives; on lexicons only."""
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
-            out = F.replace(out, F.lit(base + m), F.lit(unicodedata.normalize("NFC", base + m)))
-    return out
+def normal_form(c: Column) -> Column:
+    """Trimmed, composed, lower-cased."""
+    return F.lower(composed(F.trim(c)))
 
 
 def fill_down(rows: DataFrame) -> DataFrame:
@@ -34,14 +38,38 @@ def fill_down(rows: DataFrame) -> DataFrame:
     return filled.withColumn("r", rank).where("r = 1").select("form", "lemma", "category")
 
 
-def read_forms(spark: SparkSession, path: str) -> DataFrame:
-    """form, lemma, category from a `;` table whose data begin after the row with GRAPHIE in the 1st and 10th column."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), F.split(F.regexp_replace("value", "^﻿", ""), ";", -1).alias("c"))
-    start = lines.where((F.get("c", 0) == "GRAPHIE") & (F.get("c", 9) == "GRAPHIE")).agg(F.min("line").alias("s"))
-    data = lines.join(F.broadcast(start), F.col("line") > F.col("s")).where(F.size("c") > 9)  # start has one row
+def _forms(lines: DataFrame) -> DataFrame:
+    """lines: line, value. The data begin after the row with GRAPHIE in the 1st and 10th column."""
+    cells = lines.select("line", F.split(F.regexp_replace("value", "^\ufeff", ""), ";", -1).alias("c"))
+    start = cells.where((F.get("c", 0) == "GRAPHIE") & (F.get("c", 9) == "GRAPHIE")).agg(F.min("line").alias("s"))
+    data = cells.join(F.broadcast(start), F.col("line") > F.col("s")).where(F.size("c") > 9)  # start has one row
     return fill_down(data.select("line", F.get("c", 0).alias("lemma"), F.get("c", 2).alias("category"), F.get("c", 9).alias("form")))
 
 
+def read_forms(spark: SparkSession, path: str) -> DataFrame:
+    """form, lemma, category of a `;` table."""
+    return _forms(spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), "value"))
+
+
+def read_zipped_forms(spark: SparkSession, path: str, member: str) -> DataFrame:
+    """The same of one member of a zip archive, which one task unpacks line by line."""
+
+    def unpack(batches):
+        for batch in batches:
+            for (content,) in zip(batch["content"]):
+                with zipfile.ZipFile(io.BytesIO(bytes(content))) as archive, io.TextIOWrapper(archive.open(member), "utf-8-sig") as text:
+                    held: list[str] = []
+                    done = 0
+                    for line in text:
+                        held.append(line.rstrip("\r\n"))
+                        if len(held) == 50_000:
+                            yield pd.DataFrame({"line": range(done, done + len(held)), "value": held})
+                            done, held = done + len(held), []
+                    yield pd.DataFrame({"line": range(done, done + len(held)), "value": held})
+
+    return _forms(spark.read.format("binaryFile").load(path).select("content").mapInPandas(unpack, "line long, value string"))
+
+
 def tagged(value: Column) -> Column:
     """map tag -> values of `tag:a|b;tag:c`, equal tags joined."""
     parts = F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), ";"), lambda s: F.struct(F.substring_index(s, ":", 1).alias("k"), F.filter(F.split(F.substr(s, F.instr(s, ":") + 1), r"\|"), lambda v: v != "").alias("v"), F.contains(s, F.lit(":")).alias("ok"))), lambda p: p["ok"])

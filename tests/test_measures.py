@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.operators import corpus, lexical, repetition, structure, syntax, tokens
-from lexiloom.plans import queries as Q
 from lexiloom.sources import html, lexicons
 
 
@@ -190,17 +189,36 @@ def test_dispersion(spark):
     assert round(got["a"], 1) == 40.8 and round(got["b"], 1) == 53.7 and got["c"] is None
 
 
+_PARSE = "doc_id long, sent_id long, tok_id long, text string, lower string, lemma string, upos string, dep string, head_id long, verb_form string, voice string, is_punct boolean, is_alpha boolean, start int"
+
+
+def _parse_rows():
+    sentences = [
+        (1, 0, [("Il", "il", "PRON", "nsubj", 1, None, None), ("courait", "courir", "VERB", "ROOT", 1, "Fin", None), ("comme", "comme", "ADP", "case", 4, None, None), ("un", "un", "DET", "det", 4, None, None), ("chien", "chien", "NOUN", "obl", 1, None, None), ("enragé", "enragé", "ADJ", "amod", 4, None, None), (".", ".", "PUNCT", "punct", 1, None, None)]),
+        (1, 1, [("Comme", "comme", "SCONJ", "mark", 2, None, None), ("il", "il", "PRON", "nsubj", 2, None, None), ("pleuvait", "pleuvoir", "VERB", "advcl", 4, "Fin", None), ("il", "il", "PRON", "nsubj", 4, None, None), ("restait", "rester", "VERB", "ROOT", 4, "Fin", None), (".", ".", "PUNCT", "punct", 4, None, None)]),
+        (2, 0, [("Le", "le", "DET", "det", 1, None, None), ("chien", "chien", "NOUN", "nsubj:pass", 3, None, None), ("est", "être", "AUX", "aux:pass", 3, "Fin", None), ("poursuivi", "poursuivre", "VERB", "ROOT", 3, "Part", "Pass"), ("qui", "qui", "PRON", "nsubj", 5, None, None), ("court", "courir", "VERB", "acl:relcl", 1, "Fin", None)]),
+        (2, 1, [("Silence", "silence", "NOUN", "ROOT", 0, None, None), ("!", "!", "PUNCT", "punct", 0, None, None)]),
+        (2, 2, [("À", "à", "ADP", "case", 2, None, None), ("la", "le", "DET", "det", 2, None, None), ("manière", "manière", "NOUN", "obl", 3, None, None), ("chante", "chanter", "VERB", "ROOT", 3, "Fin", None), ("Paris", "Paris", "PROPN", "nsubj", 3, None, None), ("vite", "vite", "ADV", "advmod", 3, None, None)]),
+    ]
+    for d, s, toks in sentences:
+        at = 0
+        for i, (text, lemma, upos, dep, head, form, voice) in enumerate(toks):
+            yield (d, s, i, text, text.lower(), lemma, upos, dep, head, form, voice, upos == "PUNCT", text.isalpha(), at)
+            at += len(text) + 1
+
+
 def test_syntax(spark):
-    s = {(r.doc_id, r.sent_id): r for r in syntax.sentence_measures(Q._parses(spark)).collect()}
+    parses = spark.createDataFrame(list(_parse_rows()), _PARSE)
+    s = {(r.doc_id, r.sent_id): r for r in syntax.sentence_measures(parses).collect()}
     assert s[1, 0].comparison and not s[1, 1].comparison and s[2, 2].comparison
     assert s[2, 0].has_passive and s[2, 1].nominal and not s[1, 0].nominal
     assert s[1, 0].depth == 2 and s[2, 0].depth == 3 and s[2, 1].depth == 0
 
 
-def test_html():
+def test_html(spark):
     page = "<html><head><title>t</title></head><body><nav>menu</nav><h1>Titre</h1><p class='s'>Sous titre</p><p>M<b>i</b>-mars &amp; <i>fin</i>.</p><hr/><blockquote><p>Cité</p></blockquote><p>Victor Hugo, 1850</p><script>x<y</script><p>a</p><p>a</p></body></html>"
-    assert html.xhtml_blocks(page) == ["# Titre", "## Sous titre", "Mi-mars & fin.", "---", "> Cité", "> Victor Hugo, 1850", "a"]
-    assert html.xhtml_blocks(None) == []
+    got = html.blocks(spark.createDataFrame([(1, page), (2, None)], "page_id long, html string")).orderBy("page_id", "pos").collect()
+    assert [r.block for r in got] == ["# Titre", "## Sous titre", "Mi-mars & fin.", "---", "> Cité", "> Victor Hugo, 1850", "a"]
 
 
 def test_lexicon_readers(spark, tmp_path):
@@ -217,3 +235,39 @@ def test_contextual_lemmas(spark):
     words = spark.createDataFrame([(1, 0, "fleurs", "fleurs", "nom"), (1, 1, "chantais", "chantais", "verbe"), (1, 2, "xyz", "xyz", "nom"), (1, 3, "rigole", "rigoler", "verbe")], "doc_id long, pos int, word string, lemma string, category string")
     got = {r.form: r.lemma for r in lexicons.contextual_lemmas(words, lexicons.small_lexicon(spark)).collect()}
     assert got == {"fleurs": "fleur", "chantais": "chanter", "xyz": "xyz", "rigole": "rigoler"}
+
+
+def test_diversity_equals_all_pairs(spark):
+    rnd = random.Random(3)
+    rows = [(d, u, "".join(rnd.choice(["SV", "SVC", "P", "JSV", "C", "V", "S"]) + rnd.choice(["", ",", "."]) for _ in range(rnd.randint(1, 9)))) for d in range(6) for u in range(1 + 7 * d)]
+    got = {r.doc_id: r.structural_diversity for r in structure.structural_diversity(spark.createDataFrame(rows, "doc_id long, unit int, signature string")).collect()}
+    pats = {(r.doc_id, r.unit): Counter(r.p) for r in spark.createDataFrame(rows, "doc_id long, unit int, signature string").select("doc_id", "unit", structure.subpatterns(F.col("signature")).alias("p")).collect()}
+    for d in range(6):
+        own = [c for (e, _), c in sorted(pats.items()) if e == d and c]
+        far = []
+        for i, a in enumerate(own):
+            for b in own[:i]:
+                m, n = sum(a.values()), sum(b.values())
+                shares, counts = sum(abs(a[q] / m - b[q] / n) for q in a | b), sum(abs(a[q] - b[q]) for q in a | b)
+                far.append((0.75 * 0.5 * shares + 0.25 * counts / (m + n)) * min(1, math.sqrt((m + n) / 12)))
+        assert abs(got[d] - (sum(far) / len(far) if far else 0)) < 1e-9
+
+
+def test_depth_of_long_paths_and_cycles(spark):
+    n = 3000
+    row = lambda s, k, head: (1, s, k, "x", "x", "x", "NOUN", "dep", head, None, None, False, True, 0)
+    rows = [row(0, k, max(0, k - 1)) for k in range(n)] + [row(1, 0, 1), row(1, 1, 2), row(1, 2, 1)] + [row(2, 0, 0), row(2, 1, 77)]
+    parses = spark.createDataFrame(rows, "doc_id long, sent_id long, tok_id long, text string, lower string, lemma string, upos string, dep string, head_id long, verb_form string, voice string, is_punct boolean, is_alpha boolean, start int")
+    assert [r.depth for r in syntax.sentence_measures(parses).orderBy("sent_id").collect()] == [n - 1, 2, 0]
+
+
+def test_keyed_rows(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "c"), (None, "d")], "doc_id long, text string")
+    got = tokens.keyed(docs)
+    assert got.select("doc_id").distinct().count() == got.count() == 3 and sorted(r.copies for r in got.collect()) == [1, 1, 2]
+
+
+def test_blocked_distances_are_the_same(spark):
+    long = spark.createDataFrame([(f"e{i}", m, float((i * 7 + k * 3) % 11)) for i in range(23) for k, m in enumerate(("a", "b", "c"))], "entity string, metric string, value double")
+    one, many = (sorted((r.left, r.right, round(r.distance, 9)) for r in corpus.burrows(long, ["a", "b", "c"], block).collect()) for block in (2000, 5))
+    assert one == many and len(one) == 23 * 22 // 2

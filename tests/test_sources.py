@@ -169,3 +169,102 @@ def test_reports(spark):
     text = reports.comparison(long, spark.createDataFrame([("m", 3.0)], "metric string, sigma double"), ["e", "f"])
     assert "| m | 1.5 | — | 3 |" in text
     assert reports.bars_svg([("x", 2.0)]).startswith("<svg")
+
+
+def test_reports_of_one_text(spark, tmp_path):
+    from lexiloom.operators import repetition, tokens
+    from lexiloom.plans import metrics
+    from lexiloom.sources import lexicons
+
+    (tmp_path / "notes.md").write_text("# Burstiness #6\n<!-- hidden\n# no -->\nComment les phrases\nvarient sur {windows} k.\n# **Autre** / chose #99 #tab1_2\nx\n# Sans numéro\ny\n", encoding="utf-8")
+    notes = files.read_notes(spark, str(tmp_path / "notes.md"), "20")
+    assert [tuple(r) for r in notes.collect()] == [(6, "Burstiness", "Comment les phrases varient sur 20 k."), (99, "Autre / chose", "x"), (None, "Sans numéro", "y")]
+    long = spark.createDataFrame([("e", "burstiness", 0.5), ("e", "word_count", 12.0), ("e", "pos_verb_ratio", 0.25)], "entity string, metric string, value double")
+    noted = metrics.with_notes(long, metrics.registry(spark), notes)
+    assert {r.metric: (r.metric_id, r.note) for r in noted.collect()} == {"burstiness": (6, "Comment les phrases varient sur 20 k."), "word_count": (30, None), "pos_verb_ratio": (60, None)}
+    text = reports.text_report("e", noted, ["burstiness"])
+    assert "| burstiness[^1] | 0.5 |" in text and "[^1]: Comment les phrases" in text and "| Verbes | 25.0 % |" in text and text.index("Synthèse") < text.index("| word_count | 12 |")
+    docs = spark.createDataFrame([(1, "Fleur, l'arbre: fleurs à 2 mains!"), (2, "")], "doc_id long, text string")
+    words = repetition.repetition_words(tokens.repetition_tokens(docs), lexicons.small_lexicon(spark))
+    got = {r.doc_id: r.report for r in reports.lemma_report(docs, repetition.annotations(words, lexicons.small_families(spark))).collect()}
+    assert got == {1: "**fleur**, l'arbre: **fleur** à 2 mains!", 2: ""}
+    shares = spark.createDataFrame([("e", 0.6, 0.1, 0.1, 0.1, 0.1)], "entity string, " + ", ".join(f"{m} double" for m in reports.POS_LABELS))
+    assert reports.pies_svg(shares).count("<path") == 5
+
+
+def test_orders_registry_and_payload(spark, tmp_path):
+    from lexiloom.plans import metrics
+
+    works = spark.createDataFrame([("a", "Zut", "IA"), ("b", "Alpha", "X Y"), ("c", "Beta", "ia ")], "entity string, title string, author string")
+    assert [r.entity for r in reports.in_order(works).orderBy("n").collect()] == ["c", "a", "b"]
+    entries = spark.createDataFrame([("un.epub", "1950", "Un"), ("vieux.epub", None, None)], "file_key string, date string, title string")
+    books = spark.createDataFrame([("un.epub", "Zoé Z", "1951"), ("deux.epub", "Ana A", "1901-02-03"), ("vieux.epub", "Zoé Z", "")], "file_key string, author string, publication_date string")
+    lines = [r.line for r in files.registry_lines(entries, books).orderBy("n").collect()]
+    assert lines == ['deux.epub: {date: "1901"}', '\nun.epub: {date: "1950", title: "Un"}', 'vieux.epub: {date: ""}']
+    (tmp_path / "site.yml").write_text("# c\ntitle: \"Mon site\" # x\ndefault:\n  - 'un.epub'\n  - deux.md\n", encoding="utf-8")
+    assert [tuple(r) for r in files.read_site(spark, str(tmp_path / "site.yml")).orderBy("key", "n").collect()] == [("default", 1, "un.epub"), ("default", 2, "deux.md"), ("title", 0, "Mon site")]
+    registry = metrics.registry(spark)
+    long = spark.createDataFrame([("a", "burstiness", 0.5)], "entity string, metric string, value double")
+    (tmp_path / "web").mkdir()
+    (tmp_path / "web" / "books.json").write_text(reports.web_payload(long, works.where("entity = 'a'"), registry), encoding="utf-8")
+    assert [tuple(r) for r in reports.read_payload(spark, str(tmp_path / "web"), registry).collect()] == [("Zut", "IA", "burstiness", 0.5)]
+
+
+def test_configuration_changes_results(spark, tmp_path):
+    from lexiloom.operators import lexical, syntax, tokens
+    from lexiloom.sources import lexicons
+
+    docs = spark.createDataFrame([(1, "Le chien chante comme un enfant. Il court à l’image du vent.")], "doc_id long, text string")
+    known = tokens.with_lexicon(tokens.tokens(docs), lexicons.small_lexicon(spark))
+    (tmp_path / "words.txt").write_text("mot:chien\ncatégorie:déterminant\ngarder:le\nlemme:courir\n", encoding="utf-8")
+    rules = tokens.FunctionWords.of(files.read_function_words(spark, str(tmp_path / "words.txt")))
+    assert rules == tokens.FunctionWords(("chien",), ("déterminant",), ("courir",), ("le",))
+    kept = lambda *r: {x.word for x in lexical.content_words(known, *r).collect()}
+    assert "le" in kept(rules) and "chien" not in kept(rules) and "chien" in kept() and "le" not in kept()
+    (tmp_path / "markers.txt").write_text("# c\nà l’image\n", encoding="utf-8")
+    markers = tuple(r.phrase for r in files.read_markers(spark, str(tmp_path / "markers.txt")).collect())
+    parses = syntax.shallow_parses(docs, lexicons.small_lexicon(spark)).where("sent_id = 1")
+    assert [r.comparison for r in syntax.sentence_measures(parses, markers).collect()] == [True]
+    assert [r.comparison for r in syntax.sentence_measures(parses, ("tel un",)).collect()] == [False]
+
+
+def test_zipped_lexicon(spark, tmp_path):
+    from lexiloom.sources import lexicons
+
+    rows = ["titre;;;;;;;;;", "GRAPHIE;a;b;c;d;e;f;g;h;GRAPHIE", "Fleur;x;nom commun;;;;;;;fleur", ";;;;;;;;;FLEURS", ";;;;;;;;;", "e\u0301t\u00e9;x;nom commun;;;;;;;e\u0301t\u00e9s", "autre;x;verbe;;;;;;;fleurs"]
+    with zipfile.ZipFile(tmp_path / "lex.zip", "w") as z:
+        z.writestr("in/lex.csv", "\ufeff" + "\r\n".join(rows))
+    got = {tuple(r) for r in lexicons.read_zipped_forms(spark, str(tmp_path / "lex.zip"), "in/lex.csv").collect()}
+    assert got == {("fleur", "fleur", "nom commun"), ("fleurs", "fleur", "nom commun"), ("\u00e9t\u00e9s", "\u00e9t\u00e9", "nom commun")}
+
+
+def test_cache(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    assert incremental.read_cache(spark, path, "f", {}) is None
+    incremental.write_cache(path, spark.createDataFrame([("e", "m", 1.0), ("e", "k", 2.0)], "entity string, metric string, value double"), "f", {"m": 2})
+    kept, stale = incremental.read_cache(spark, path, "f", {"m": 3})
+    assert stale == ["m"] and [tuple(r) for r in kept.collect()] == [("e", "k", 2.0)]
+    assert incremental.read_cache(spark, path, "other", {}) is None
+
+
+def test_a_batch_that_is_tried_again_writes_no_row_twice(spark, tmp_path):
+    src, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    follow = lambda k: incremental.follow(spark, src, "doc_id long, text string", state, "v1", lambda d: d.select("doc_id"), out, str(tmp_path / f"ck{k}")).awaitTermination()
+    spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string").coalesce(1).write.parquet(src)
+    follow(0)
+    follow(1)  # a new checkpoint: batch 0 runs a second time
+    assert sorted(r.doc_id for r in spark.read.parquet(out).collect()) == [1, 2] and spark.read.parquet(state).count() == 2
+
+
+def test_merged_and_evolution(spark):
+    old = spark.createDataFrame([(1, 0.1), (2, 0.2), (3, 0.3)], "doc_id long, m double")
+    fresh = spark.createDataFrame([(2, 0.9)], "doc_id long, m double")
+    now = spark.createDataFrame([(1,), (2,)], "doc_id long")
+    assert sorted(map(tuple, incremental.merged(old, fresh, now).collect())) == [(1, 0.1), (2, 0.9)]
+    scaled = spark.createDataFrame([("a", "m", 1.0), ("b", "m", 2.0), ("c", "m", 3.0)], "entity string, metric string, scaled double")
+    works = spark.createDataFrame([("a", "1950"), ("b", "1901-02-03"), ("c", "?")], "entity string, publication_date string")
+    assert [r.entity for r in reports.evolution(scaled, works).collect()] == ["b", "a"]
+    sigs = spark.createDataFrame([(0, "SUJET VERBE .", True), (1, "INCONNU", False)], "unit int, roles string, eligible boolean")
+    assert "| 1 | SUJET VERBE . | oui |" in reports.structure_report(sigs)
+    radii = spark.createDataFrame([("a", k, f"m{k}", 0.5) for k in range(4)], "entity string, axis int, metric string, radius double")
+    assert reports.radar_svg(radii).count("<polygon") == 1
