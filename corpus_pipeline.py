@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexiloom.llm import exact_dedup, mixing, near_dup, packing, toxicity
 from lexiloom.llm._store import stage
 from lexiloom.llm.queries import tokenizer_file
+from lexiloom.sources.files import dealt
 
 #: Target shares of tokens by the domain that labels.quality marks.
 TARGETS = {"good": 0.95, "poor": 0.05}
@@ -48,7 +49,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = dealt(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for name, step in STAGES:
         docs = stage(step(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
     return docs

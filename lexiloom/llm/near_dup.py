@@ -3,17 +3,21 @@
 Documents are sets of 5-word shingles. Band and row counts follow from the
 target recall at the threshold. Band hashes are shuffled; documents that share
 one are tied to the smallest of them, which gives candidate groups. Within a
-group all pairs are verified on the full shingle sets, in blocks: a large group
-is dealt into chunks by a hash, one task per pair of chunks, and a task gives
-back only one row per member (its links, and a neighbour for the classes), so
-neither the rows nor a task grows with the square of a group.
+group all links are found on the full shingle sets. A large group is first held
+against one set of it: two sets that are each within half of the threshold's
+distance of that one are links by the triangle inequality, so that the core of a
+group (copies of one template with few changes) is never compared pair by pair.
+What is left is dealt into chunks by a hash, one task per pair of chunks, and a
+task gives back only one row per member (its links, and a neighbour for the
+classes).
 
 Documents with equal shingle sets form one set node; only one of them is
 compared, and the copies count as links of each other.
 
-Scale: text is read twice and shuffled once, with candidate documents only; a
-band hash is a pair of longs. Groups of any size are verified whole: the work,
-not the memory, of one very large group grows with its square over the chunks.
+Scale: text is read twice and shuffled once, with candidate documents only (those
+of large groups once more). Groups of any size are verified whole, a task at a
+time of bounded size. For a group with c sets in its core and r beyond it, work
+and shuffled texts grow with r * (r + c) over the chunk size, not with c * c.
 
 Defined cases: null text counts as empty; a text without words has no links and
 is a class of its own; repeated rows are copies; rows are told apart by id and
@@ -157,6 +161,55 @@ def _verify(threshold: float, shingle: int):
     return run
 
 
+def _beside_pivot(threshold: float, shingle: int):
+    """Whether a set is a core member: its distance from the pivot's is at most half of the distance at the threshold."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        sets = _vector.shingle_sets(pdf["text"].fillna("").tolist(), shingle)
+        pivot = sets[int(np.flatnonzero(pdf["pivot"].to_numpy())[0])]
+        own = [(n, s) for n, s, p in zip(pdf["node"], sets, pdf["pivot"]) if not p]
+        inter = [np.isin(s, pivot, assume_unique=True).sum() for _, s in own]
+        core = [2 * x >= (1 + threshold) * (len(s) + len(pivot) - x) + 1e-9 for x, (_, s) in zip(inter, own)]
+        return pd.DataFrame({"node": [n for n, _ in own], "core": core})
+
+    return run
+
+
+def _parts(count: Column, shingles: Column) -> Column:
+    return F.greatest(F.ceil(count / CHUNK_ROWS), F.ceil(shingles / CHUNK_SHINGLES)).cast("int")
+
+
+def _blocks(found: DataFrame, members: DataFrame, threshold: float, shingle: int) -> DataFrame:
+    """node, anchor, n_sets, n_docs: for each block that a set stands in, a set of its class and its links there.
+
+    found: node, root, chunk, chunks, copies, text (a written table). A small group is one block. A large one is first
+    held against its pivot, its smallest node: Jaccard distance is a metric, so any two core members are links of each
+    other without being compared. Blocks are made of the rest: its chunks with each other and with those of the core.
+    """
+    kind = "node long, anchor long, n_sets long, n_docs long"
+    check = _verify(threshold, shingle)
+    small = found.where("chunks = 1").select("node", "root", "copies", "text", *(F.lit(0).alias(c) for c in ("chunk", "left", "right")))
+    verified = small.groupBy("root", "left", "right").applyInPandas(check, kind)
+    large = members.where("chunks > 1")
+    if not large.limit(1).count():
+        return verified
+    pivots = stage(large.groupBy("root").agg(F.min("node").alias("p"), F.first("chunks").alias("n")), "pivots")
+    texts = found.where("chunks > 1").select("root", "chunk", "node", "text", F.lit(False).alias("pivot"))
+    shown = found.where("chunks > 1").join(pivots.select(F.col("p").alias("node"), "n"), "node").select("root", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("chunk"), "node", "text", F.lit(True).alias("pivot"))
+    core = stage(texts.unionByName(shown).groupBy("root", "chunk").applyInPandas(_beside_pivot(threshold, shingle), "node long, core boolean"), "core")
+    sided = stage(large.select("node", "root", "copies", "n").join(core, "node"), "sided")
+    yes, no = (lambda c: F.sum(F.when(F.col("core"), c).otherwise(0))), (lambda c: F.sum(F.when(F.col("core"), 0).otherwise(c)))
+    sums = sided.groupBy("root").agg(yes(F.lit(1)).alias("k"), yes(F.col("copies")).alias("k_docs"), _parts(yes(F.lit(1)), yes(F.col("n"))).alias("cores"), _parts(no(F.lit(1)), no(F.col("n"))).alias("rims"))
+    placed = stage(sided.join(stage(sums, "sums"), "root"), "placed")
+    linked_core = placed.where("core").join(pivots.select("root", "p"), "root").select("node", F.col("p").alias("anchor"), (F.col("k") - 1).alias("n_sets"), (F.col("k_docs") - F.col("copies")).alias("n_docs"))
+    chunk = F.when(F.col("core"), F.pmod(F.xxhash64("node"), F.col("cores"))).otherwise(F.col("cores") + F.pmod(F.xxhash64("node"), F.greatest(F.col("rims"), F.lit(1)))).cast("int")
+    first = F.when(F.col("core"), F.col("cores")).otherwise(F.lit(0))
+    dealt = placed.where("rims > 0").select("node", "root", "copies", chunk.alias("chunk"), F.explode(F.sequence(first, F.col("cores") + F.col("rims") - 1)).alias("other"))
+    pairs = dealt.select("node", "root", "copies", "chunk", F.least("chunk", "other").alias("left"), F.greatest("chunk", "other").alias("right"))
+    rest = pairs.join(found.select("node", "text"), "node").groupBy("root", "left", "right").applyInPandas(check, kind)
+    return verified.unionByName(rest).unionByName(linked_core.select("node", "anchor", F.col("n_sets").cast("long"), F.col("n_docs").cast("long")))
+
+
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """One row per row of docs: doc_id, class_id, keep_id, set_id, n_links, n_set_links.
 
@@ -183,7 +236,7 @@ def _classes(docs: DataFrame, threshold: float, recall: float, id_col: str, text
     ties = keys.join(shared, F.col("key") == F.col("k")).select(F.col("node").alias("u"), "v").where("u <> v").distinct()
     groups = stage(components(ties).join(sets.select("node", "set_id", "copies", "n"), "node"), "groups")
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
-    chunks = stage(sizes.select("root", F.greatest(F.ceil(F.col("c") / CHUNK_ROWS), F.ceil(F.col("s") / CHUNK_SHINGLES)).cast("int").alias("chunks")), "chunks")
+    chunks = stage(sizes.select("root", _parts(F.col("c"), F.col("s")).alias("chunks")), "chunks")
     members = stage(groups.join(chunks, "root").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")), "members")
     # one text of each candidate set, found by its id, or by id and text where ids repeat
     wanted = members.select("node", "root", "chunks", "chunk", "copies", F.col("set_id").alias("w_id"))
@@ -198,10 +251,7 @@ def _classes(docs: DataFrame, threshold: float, recall: float, id_col: str, text
     found = texts.join(wanted, same)
     found = found.select("node", "root", "chunk", "chunks", "copies", "text")
     found = found.dropDuplicates(["node"]) if repeated else found
-    dealt = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
-        "node", "root", "chunk", "copies", "text", F.least("chunk", "other").alias("left"), F.greatest("chunk", "other").alias("right")
-    )
-    blocks = stage(dealt.groupBy("root", "left", "right").applyInPandas(_verify(threshold, shingle), "node long, anchor long, n_sets long, n_docs long"), "blocks")
+    blocks = stage(_blocks(stage(found, "candidates"), members, threshold, shingle), "blocks")
     links = blocks.groupBy("node").agg(F.sum("n_sets").alias("n_set_links"), F.sum("n_docs").alias("n_docs"))
     roots = components(blocks.select(F.col("node").alias("u"), F.col("anchor").alias("v")))
     nodes = sets.join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

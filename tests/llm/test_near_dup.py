@@ -43,6 +43,30 @@ def test_links_and_classes_against_brute_force(spark, monkeypatch, rows, cap):
         assert r.class_id == label[r.doc_id]
 
 
+def test_core_of_a_large_group_against_brute_force(spark, monkeypatch):
+    """Copies of one template with few changes, a looser rim, and a second template near the first."""
+    monkeypatch.setattr(near_dup, "CHUNK_ROWS", 4)
+    rnd = random.Random(31)
+    base = [f"w{rnd.randrange(900)}" for _ in range(150)]
+    texts = []
+    for k in range(90):
+        t = list(base)
+        for _ in range(rnd.choice([0, 1, 1, 1, 2, 3, 5, 8])):
+            t[rnd.randrange(len(t))] = f"x{rnd.randrange(10_000)}"
+        if k % 7 == 0:
+            t[:4] = ["other", "start", "of", "it"]
+        texts.append(" ".join(t))
+    texts += texts[:5] + ["unrelated words that stand alone here"] * 2
+    sets = [shingles(t) for t in texts]
+    links = [{j for j in range(len(sets)) if j != i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])} for i in range(len(sets))]
+    got = {r.doc_id: r for r in near_dup.near_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i].n_links for i in range(len(texts))] == [len(x) for x in links]
+    label = list(range(len(texts)))
+    for _ in texts:
+        label = [min([label[i], *(label[j] for j in links[i])]) for i in range(len(texts))]
+    assert [got[i].class_id for i in range(len(texts))] == label
+
+
 def test_pair_check_equals_sets():
     rnd = np.random.default_rng(0)
     sets = [np.unique(rnd.integers(0, 60, rnd.integers(1, 40))).astype(np.uint64) for _ in range(40)]
