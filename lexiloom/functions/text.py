@@ -25,10 +25,10 @@ def repetition_tokens(text: Column) -> Column:
 
 def split_sentences(text: Column) -> Column:
     """Sentences end at . ! ? before white space or the end; abbreviations and single capitals do not end one."""
-    short = rf"(?i)(^|[^\p{{L}}\p{{N}}_])({'|'.join(config.ABBREVIATIONS)})\."
-    capital = r"(^|[^\p{L}\p{N}_])([A-ZÀ-Ý])\."
-    for pattern in (short, short, capital, capital):
-        text = F.regexp_replace(text, pattern, "$1$2" + _STOP)
+    short = rf"(?i)(?<![\p{{L}}\p{{N}}_])({'|'.join(config.ABBREVIATIONS)})\."
+    capital = r"(?<![\p{L}\p{N}_])([A-ZÀ-Ý])\."
+    for pattern in (short, capital):
+        text = F.regexp_replace(text, pattern, "$1" + _STOP)
     parts = F.split(text, rf"(?<=[.!?])(?:{WHITE}+|$)", -1)
     return F.filter(F.transform(parts, lambda s: strip(F.replace(s, F.lit(_STOP), F.lit(".")))), lambda s: s != "")
 

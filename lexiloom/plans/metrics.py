@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions import text as T
 from ..operators import compress, lexical, repetition, rhythm, structure, syntax, tokens
+from ..store import stage
 
 
 def registry(spark: SparkSession) -> DataFrame:
@@ -26,18 +27,19 @@ def first_window(docs: DataFrame) -> DataFrame:
 def metric_vector(docs: DataFrame, lexicon: DataFrame, families: DataFrame, sounds: DataFrame, parses: DataFrame | None = None, windowed: bool = True) -> DataFrame:
     """One row per document, also for empty texts (zeros); syntax measures are null without parses.
 
-    windowed: some measures see the first analysis window only. Every part is
-    keyed and shuffled by doc_id, so the joins reuse that partitioning.
+    windowed: some measures see the first analysis window only. Words, sentences and
+    signatures are written once and read by the parts, each of which is keyed and
+    shuffled by doc_id, so the joins reuse that partitioning.
     """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     first = first_window(base) if windowed else base
-    toks, sents = tokens.tokens(base), tokens.sentences(base)
+    toks, sents = stage(tokens.tokens(base), "words"), stage(tokens.sentences(base), "sentences")
     known = tokens.with_lexicon(toks, lexicon)
     content = lexical.content_words(known)
-    first_known = tokens.with_lexicon(tokens.tokens(first), lexicon)
+    first_known = stage(tokens.with_lexicon(tokens.tokens(first), lexicon), "first-words")
     words = repetition.repetition_words(tokens.repetition_tokens(base), lexicon)
-    near = repetition.repetition_words(tokens.repetition_tokens(first), lexicon)
-    sigs = structure.signatures(base, lexicon)
+    near = stage(repetition.repetition_words(tokens.repetition_tokens(first), lexicon), "near-words")
+    sigs = stage(structure.signatures(base, lexicon), "signatures")
     starts = F.filter(F.transform(T.split_sentences(F.col("text")), lambda s: F.get(T.tokenize(s), 0)), lambda w: w.isNotNull())
     n = F.size(T.tokenize(F.col("text")))
     inner = base.select(
