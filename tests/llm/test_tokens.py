@@ -59,6 +59,25 @@ def test_counts_add_up(odd_docs, tok, rule):
         assert max(r.end for r in own) == len(text)
 
 
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_sections_against_the_library(spark, tok, rule):
+    """Each section's tokens counted one by one from the library's own offsets."""
+    texts = [t + "\n" + u for t, u in zip(odd_texts(300), reversed(odd_texts(300)))]
+    want = {}
+    for d, t in enumerate(texts):
+        starts = [0] + [i + 1 for i, c in enumerate(t) if c == "\n" and i + 1 < len(t)]
+        counts = [0] * len(starts)
+        for a, b in tok.encode(t, add_special_tokens=False).offsets:
+            own = [sum(starts[k] <= c < (starts[k + 1] if k + 1 < len(starts) else len(t)) for c in range(a, max(b, a + 1))) for k in range(len(starts))]
+            counts[own.index(max(own)) if rule == "majority" else max(k for k, s in enumerate(starts) if s <= a)] += 1
+        want[d] = list(zip(starts, counts))
+    rows = token_counts.section_token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tokenizer_file(), rule=rule).collect()
+    got = defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.section)):
+        got[r.doc_id].append((r.start, r.n_tokens))
+    assert got == want
+
+
 def test_boundary_rules():
     starts = np.array([0, 3])
     assert token_counts.attribute(starts, 10, np.array([2]), np.array([6]), "first").tolist() == [1, 0]
