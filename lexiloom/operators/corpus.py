@@ -139,6 +139,11 @@ def polygon_area(radii: DataFrame, radius: str = "radius") -> DataFrame:
     return rows.groupBy("entity").agg(F.when(n >= 3, F.abs(F.sum("p")) * F.sin(2 * F.pi() / n) / 2).otherwise(0.0).alias("area"))
 
 
+def ascending(rows: DataFrame, value: str) -> DataFrame:
+    """rows (entity, value) with place: the smallest value first, names at a tie."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.round(value, 9), "entity")))  # one row an entity
+
+
 def scaled(long: DataFrame, flipped: tuple[str, ...] = ()) -> DataFrame:
     """entity, metric, scaled: corpus minimum to maximum, log-curved to 0..100; 50 for a constant measure."""
     known = long.where("value is not null")

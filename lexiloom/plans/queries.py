@@ -734,3 +734,147 @@ def canonical_authors(spark, sf_dir):
 @query("""WITH h AS (SELECT floor(doc_id / 65536) AS r, doc_id, sha256(coalesce(text, '')) AS s FROM documents), g AS (SELECT r, sha256(string_agg(coalesce(doc_id::VARCHAR, '') || chr(0) || s || chr(0), '' ORDER BY doc_id NULLS FIRST, s)) AS g FROM h GROUP BY r) SELECT sha256(string_agg(g, '' ORDER BY r NULLS FIRST)) AS fingerprint FROM g""")
 def corpus_fingerprint(spark, sf_dir):
     return incremental.fingerprint(docs(spark, sf_dir))
+
+
+# ---- metadata, orders and updates: tables derived from the documents -------------------------
+_BOOKS = """bk AS (SELECT doc_id, source || '_nr-' || doc_id || '.md' AS file, CASE doc_id % 5 WHEN 0 THEN '19' || lpad((doc_id % 90 + 10)::VARCHAR, 2, '0') || '-03-01' WHEN 1 THEN '2999' WHEN 2 THEN 'n.d.' WHEN 3 THEN '' END AS date,
+  CASE WHEN doc_id % 2 = 0 THEN 'Tous droits réservés, Éditions X, ' || (1400 + doc_id % 700) || ' et ' || (1900 + doc_id % 90) || '. 10 % et 5 %.' ELSE 'sans date 1950' END AS note, CASE WHEN doc_id % 7 = 0 THEN 'IA' ELSE source END AS author, left(coalesce(text, ''), 40) AS title FROM documents)"""
+
+
+def _books(spark, sf_dir) -> DataFrame:
+    """doc_id, file, date, note, author, title: what a library would tell of each document."""
+    d, k = spark.read.parquet(f"{sf_dir}/documents.parquet"), F.col("doc_id")
+    date = F.when(k % 5 == 0, F.concat(F.lit("19"), F.lpad((k % 90 + 10).cast("string"), 2, "0"), F.lit("-03-01"))).when(k % 5 == 1, "2999").when(k % 5 == 2, "n.d.").when(k % 5 == 3, "")
+    said = F.concat(F.lit("Tous droits réservés, Éditions X, "), (1400 + k % 700).cast("string"), F.lit(" et "), (1900 + k % 90).cast("string"), F.lit(". 10 % et 5 %."))
+    return d.select("doc_id", F.concat("source", F.lit("_nr-"), k.cast("string"), F.lit(".md")).alias("file"), date.alias("date"), F.when(k % 2 == 0, said).otherwise("sans date 1950").alias("note"), F.when(k % 7 == 0, "IA").otherwise(F.col("source")).alias("author"), F.substr(F.coalesce("text", F.lit("")), F.lit(1), F.lit(40)).alias("title"))
+
+
+_YEAR = r"CASE WHEN TRY_CAST(left(date, 4) AS INT) BETWEEN 1500 AND 2100 THEN TRY_CAST(left(date, 4) AS INT) ELSE TRY_CAST(nullif(regexp_extract(note, '(?is)(?:©|copyright|droits réservés).{0,180}?\b((?:1[5-9]|20)\d\d)\b', 1), '') AS INT) END"
+
+
+@query(f"WITH {_BOOKS} SELECT doc_id, coalesce(({_YEAR})::VARCHAR, '') AS year FROM bk")
+def publication_years(spark, sf_dir):
+    """From the date, else from the text beside a copyright sign."""
+    return _books(spark, sf_dir).select("doc_id", F.coalesce(T.publication_year(F.col("date"), F.col("note")).cast("string"), F.lit("")).alias("year"))
+
+
+@query(f"WITH {_BOOKS} SELECT doc_id, replace(note, ' %', chr(160) || '%') AS note FROM bk")
+def percent_typography(spark, sf_dir):
+    return _books(spark, sf_dir).select("doc_id", T.percent_typography(F.col("note")).alias("note"))
+
+
+_FOLD = "replace(replace(translate(lower({0}), 'àâäáãéèêëíîïìóôöòõúùûüçñÿ', 'aaaaaeeeeiiiiooooouuuucny'), 'œ', 'oe'), 'æ', 'ae')"
+
+
+@query(f"""WITH {_BOOKS}, n AS (SELECT *, trim(regexp_replace(regexp_replace(file, '\\.[A-Za-z0-9]+$', ''), '[_-]+', ' ', 'g')) AS s FROM bk), m AS (SELECT *, regexp_replace(s, '(\\p{{L}})(\\d)', '\\1 \\2', 'g') AS s2 FROM n)
+SELECT doc_id, upper(left(s2, 1)) || substr(s2, 2) AS name, trim(regexp_replace({_FOLD.format('title')}, '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM m""")
+def display_names(spark, sf_dir):
+    """Names shown for files, and slugs of titles."""
+    return _books(spark, sf_dir).select("doc_id", T.display_name(F.col("file")).alias("name"), T.slug(F.col("title")).alias("slug"))
+
+
+@query(f"""WITH {_BOOKS}, o AS (SELECT file, '18' || lpad((doc_id % 100)::VARCHAR, 2, '0') AS o_date, CASE WHEN doc_id % 6 = 0 THEN 'Titre ' || doc_id END AS o_title FROM bk WHERE doc_id % 3 = 0), y AS (SELECT {_FOLD.format("'Éd ' || author")} AS ak, {_FOLD.format('title')} AS tk, min(1700 + doc_id % 50)::INT AS y FROM bk GROUP BY ALL)
+SELECT bk.file, coalesce(o_title, nullif(title, '')) AS title, coalesce(TRY_CAST(left(o_date, 4) AS INT), {_YEAR}, y) AS year FROM bk LEFT JOIN o USING (file) LEFT JOIN y ON ak = {_FOLD.format("'Éd ' || author")} AND tk = {_FOLD.format('coalesce(o_title, title)')} WHERE title <> ''""")
+def metadata_precedence(spark, sf_dir):
+    """Titles and years: overrides go before a book's own date, that before its text, that before looked-up years."""
+    b = _books(spark, sf_dir).withColumn("author", F.concat(F.lit("Éd "), "author"))
+    k = F.col("doc_id")
+    o = b.where(k % 3 == 0).select(F.col("file").alias("file_key"), F.concat(F.lit("18"), F.lpad((k % 100).cast("string"), 2, "0")).alias("date"), F.when(k % 6 == 0, F.concat(F.lit("Titre "), k.cast("string"))).alias("title"))
+    y = b.select(T.ascii_fold(F.col("author")).alias("author_key"), T.ascii_fold(F.col("title")).alias("title_key"), (1700 + k % 50).cast("string").alias("year"))
+    rows = files.with_metadata(b.where("title <> ''").select(F.col("file").alias("file_key"), "title", "author", F.col("date").alias("publication_date"), F.col("note").alias("text")), o, y)
+    return rows.select(F.col("file_key").alias("file"), "title", "year")
+
+
+@query(f"""WITH {_BOOKS}, w AS (SELECT author, CASE WHEN author = 'IA' THEN 'IA — ' || author ELSE author END AS name FROM bk GROUP BY author) SELECT author, name, row_number() OVER (ORDER BY author <> 'IA', lower(name), author) AS n FROM w""")
+def machine_first(spark, sf_dir):
+    """Authors as comparisons order them: machines first, then by name."""
+    works = _books(spark, sf_dir).select("author").distinct().select(F.col("author").alias("entity"), F.col("author").alias("title"), "author")
+    return reports.in_order(works).select("author", reports.shown_name(F.col("title"), F.col("author")).alias("name"), F.col("n").cast("long").alias("n"))
+
+
+@query(f"""WITH {_BOOKS}, r AS (SELECT file, lower(trim(author)) AS a, coalesce(regexp_extract(date, '^(\\d{{4}})', 1), '') AS y FROM bk), s AS (SELECT *, row_number() OVER w AS n, lag(a) OVER w AS p FROM r WINDOW w AS (ORDER BY a, CASE WHEN y = '' THEN '9999' ELSE y END, lower(file), file))
+SELECT n, CASE WHEN p <> a THEN chr(10) ELSE '' END || file || ': {{date: "' || y || '"}}' AS line FROM s""")
+def registry_order(spark, sf_dir):
+    """The publication registry's lines, for books that have no entry yet."""
+    b = _books(spark, sf_dir).select(F.col("file").alias("file_key"), "author", F.col("date").alias("publication_date"))
+    none = b.limit(0).select("file_key", F.lit("").alias("date"), F.lit("").alias("title"))
+    return files.registry_lines(none, b).withColumn("n", F.col("n").cast("long"))
+
+
+@query(f"""WITH {_SCALED}, {_BOOKS}, dt AS (SELECT source AS entity, max(date) AS date FROM bk JOIN documents USING (doc_id) WHERE doc_id % 5 = 0 GROUP BY source) SELECT entity, strftime(date::DATE, '%Y-%m-%d') AS published, metric, round(scaled, 6) AS scaled FROM sc JOIN dt USING (entity)""")
+def evolution(spark, sf_dir):
+    """Scaled measures of dated works."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
+    works = _books(spark, sf_dir).where("doc_id % 5 = 0").join(d, "doc_id").groupBy(F.col("source").alias("entity")).agg(F.max("date").alias("publication_date"))
+    out = reports.evolution(corpus.scaled(entity_long(spark, sf_dir)), works)
+    return _r(out.withColumn("published", F.date_format("published", "yyyy-MM-dd")), "scaled")
+
+
+@query(f"""WITH {_DOCS}, w AS (SELECT doc_id, count(*) AS c FROM d GROUP BY doc_id), v AS (SELECT doc_id, (doc_id % 10) / 10.0 AS s, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 0.25 END AS r, 0.5 AS u, (doc_id % 3) / 4.0 AS nr, CASE WHEN doc_id % 6 = 0 THEN 0 ELSE 0.5 END AS vr FROM w)
+SELECT doc_id, round(1 - s, 6) AS stylistic_repetition_rate, round(coalesce(r, 0) + u, 6) AS relative_clause_ratio, round(CASE WHEN vr <> 0 THEN nr / vr ELSE 0 END, 6) AS noun_verb_ratio FROM v""")
+def web_view(spark, sf_dir):
+    """The view that the explorer compares, over made-up measures of every document."""
+    k = F.col("doc_id")
+    wide = docs(spark, sf_dir).select("doc_id", ((k % 10) / 10.0).alias("stylistic_repetition_rate"), F.when(k % 4 != 0, 0.25).alias("relative_clause_ratio"), F.lit(0.5).alias("subordinate_clause_ratio"), ((k % 3) / 4.0).alias("noun_ratio"), F.when(k % 6 == 0, 0.0).otherwise(0.5).alias("verb_ratio"), F.lit(None).cast("double").alias("noun_verb_ratio"))
+    names = ["stylistic_repetition_rate", "relative_clause_ratio", "noun_verb_ratio"]
+    return _r(corpus.web_view(wide).select("doc_id", *names), *names)
+
+
+@query(f"WITH {_FOLDED}, u AS (SELECT doc_id, unnest(range(len(w))) AS window_index, unnest(w) AS w FROM g) SELECT doc_id AS book_id, min(window_index) AS window_index, arg_min(length(w.f), window_index) AS chars FROM u GROUP BY doc_id")
+def first_analysis(spark, sf_dir):
+    """The first analysed window of every document."""
+    w = docs(spark, sf_dir).select(F.col("doc_id").alias("book_id"), F.posexplode(T.char_windows(F.col("text"), 3000)).alias("window_index", "w"))
+    rows = w.select("book_id", F.col("window_index").cast("long").alias("window_index"), F.length("w.fragment").cast("long").alias("chars"))
+    return files.first_windows(rows)
+
+
+@query("""WITH o AS (SELECT doc_id, 1.0::DOUBLE AS m FROM documents WHERE doc_id % 2 = 0), f AS (SELECT doc_id, 2.0::DOUBLE AS m FROM documents WHERE doc_id % 3 = 0 AND doc_id % 5 <> 0), c AS (SELECT doc_id FROM documents WHERE doc_id % 5 <> 0)
+SELECT doc_id, m FROM o WHERE doc_id NOT IN (SELECT doc_id FROM f) AND doc_id IN (SELECT doc_id FROM c) UNION ALL SELECT doc_id, m FROM f""")
+def merged_analyses(spark, sf_dir):
+    """Analyses after an update: fresh ones replace old ones, those of vanished documents (every fifth) go."""
+    ids = docs(spark, sf_dir).select("doc_id")
+    old, fresh = ids.where("doc_id % 2 = 0").withColumn("m", F.lit(1.0)), ids.where("doc_id % 3 = 0 and doc_id % 5 <> 0").withColumn("m", F.lit(2.0))
+    return incremental.merged(old, fresh, ids.where("doc_id % 5 <> 0"))
+
+
+@query("""WITH c AS (SELECT doc_id AS line, CASE WHEN doc_id % 4 = 0 THEN 'Lemme' || doc_id ELSE ' ' END AS lemma, CASE WHEN doc_id % 4 = 0 THEN 'nom' END AS category, ' Forme' || (doc_id % 60) || ' ' AS form FROM documents),
+f AS (SELECT line, lower(last_value(nullif(trim(lemma), '') IGNORE NULLS) OVER w) AS lemma, last_value(category IGNORE NULLS) OVER w AS category, lower(trim(form)) AS form FROM c WINDOW w AS (ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT form, arg_min(lemma, line) AS lemma, arg_min(category, line) AS category FROM f WHERE lemma IS NOT NULL GROUP BY form""")
+def lexicon_fill_down(spark, sf_dir):
+    """A lexicon whose lemma stands only on the first of its lines."""
+    k = F.col("doc_id")
+    rows = docs(spark, sf_dir).select(k.alias("line"), F.when(k % 4 == 0, F.concat(F.lit("Lemme"), k.cast("string"))).otherwise(" ").alias("lemma"), F.when(k % 4 == 0, "nom").alias("category"), F.concat(F.lit(" Forme"), (k % 60).cast("string"), F.lit(" ")).alias("form"))
+    return lexicons.fill_down(rows)
+
+
+@query(f"WITH {_TOK}, t AS (SELECT doc_id, count(*) AS n, count(DISTINCT word) AS k FROM tok GROUP BY doc_id) SELECT doc_id, round(1 - k / n, 6) AS generic_repetition FROM t")
+def generic_repetition(spark, sf_dir):
+    """One less the type-token ratio."""
+    t = lexical.type_token(tokens.tokens(docs(spark, sf_dir)))
+    return _r(t.select("doc_id", (1 - F.col("type_token_ratio")).alias("generic_repetition")), "generic_repetition")
+
+
+@query(f"""WITH {_RADAR}, p AS (SELECT entity, radius * coalesce(lead(radius) OVER (PARTITION BY entity ORDER BY axis), first_value(radius) OVER (PARTITION BY entity ORDER BY axis ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS p FROM rad),
+ars AS (SELECT entity, abs(sum(p)) * sin(2 * pi() / count(*)) / 2 AS area FROM p GROUP BY entity) SELECT entity, round(area, 6) AS area, row_number() OVER (ORDER BY round(area, 9), entity) AS place FROM ars""")
+def areas_ascending(spark, sf_dir):
+    """Sources by radar area, the smallest first."""
+    area = corpus.polygon_area(corpus.radar(entity_long(spark, sf_dir), RADAR_AXES))
+    return _r(corpus.ascending(area, "area"), "area").withColumn("place", F.col("place").cast("long"))
+
+
+@query(f"WITH {_CORPUS}, {_values('reg', 'metric, metric_id', list(config.METRIC_IDS.items()))} SELECT entity, metric, metric_id, round(value, 6) AS value, 'Note ' || metric_id AS note FROM long LEFT JOIN reg USING (metric)")
+def measures_with_notes(spark, sf_dir):
+    """Measures with their public ids and notes."""
+    registry = metrics.registry(spark)
+    notes = registry.select(F.col("metric_id").alias("note_id"), F.concat(F.lit("Note "), F.col("metric_id").cast("string")).alias("note"))
+    return _r(metrics.with_notes(entity_long(spark, sf_dir), registry, notes), "value").withColumn("metric_id", F.col("metric_id").cast("long"))
+
+
+@query(f"""WITH {_RKNOWN}, {_FAM}, keys AS (SELECT doc_id, pos, 'L:' || lemma AS key FROM kw WHERE NOT fn UNION ALL SELECT DISTINCT doc_id, pos, 'F:' || family FROM kw JOIN fam ON lemma = lexeme WHERE NOT fn),
+hit AS (SELECT DISTINCT doc_id, pos FROM (SELECT doc_id, pos, pos - lag(pos) OVER w AS back, lead(pos) OVER w - pos AS ahead FROM keys WINDOW w AS (PARTITION BY doc_id, key ORDER BY pos)) WHERE back <= 300 OR ahead <= 300),
+sh AS (SELECT kw.doc_id, list(CASE WHEN hit.pos IS NOT NULL THEN '**' || lemma || '**' ELSE lemma END ORDER BY kw.pos) AS l FROM kw LEFT JOIN hit ON kw.doc_id = hit.doc_id AND kw.pos = hit.pos GROUP BY kw.doc_id),
+gp AS (SELECT doc_id, string_split_regex(text, '{_W}{{2,}}') AS g FROM d) SELECT doc_id, sha256(array_to_string(list_transform(g, lambda x, i: x || coalesce(l[i], '')), '')) AS report_sha256 FROM gp LEFT JOIN sh USING (doc_id)""")
+def lemma_reports(spark, sf_dir):
+    """Each text with its words as lemmas, repeated ones in bold."""
+    notes = repetition.annotations(_rwords(spark, sf_dir), lexicons.small_families(spark))
+    return reports.lemma_report(docs(spark, sf_dir), notes).select("doc_id", F.sha2("report", 256).alias("report_sha256"))
