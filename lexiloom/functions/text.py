@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -131,12 +133,25 @@ def percent_typography(text: Column) -> Column:
     return F.replace(text, F.lit(" %"), F.lit(" %"))
 
 
+def _folds() -> tuple[str, str]:
+    """Lower-case Latin letters with marks, and the letters that Unicode decomposes them to."""
+    pairs = [(chr(c), unicodedata.normalize("NFKD", chr(c))[0]) for c in range(0xC0, 0x250) if chr(c).islower()]
+    pairs = [(a, b) for a, b in pairs if a != b and b.isascii()]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
 def ascii_fold(text: Column) -> Column:
-    """Lower-cased without French accents."""
-    out = F.translate(F.lower(text), "àâäáãéèêëíîïìóôöòõúùûüçñÿ", "aaaaaeeeeiiiiooooouuuucny")
+    """Lower-cased, Latin letters without their marks; œ and æ as two letters."""
+    out = F.translate(F.lower(text), *_folds())
     return F.replace(F.replace(out, F.lit("œ"), F.lit("oe")), F.lit("æ"), F.lit("ae"))
 
 
+def number_in(text: Column) -> Column:
+    """The first number of a text: blanks between digits do not count, and a comma is a decimal point; null without one."""
+    plain = F.translate(text, " \u00a0\u202f", "")
+    return F.replace(F.nullif(F.regexp_extract(plain, r"-?\d+(?:[.,]\d+)?", 0), F.lit("")), F.lit(","), F.lit(".")).cast("double")
+
+
 def slug(text: Column) -> Column:
     return F.btrim(F.regexp_replace(ascii_fold(text), "[^a-z0-9]+", "-"), F.lit("-"))
 

@@ -878,3 +878,10 @@ def lemma_reports(spark, sf_dir):
     """Each text with its words as lemmas, repeated ones in bold."""
     notes = repetition.annotations(_rwords(spark, sf_dir), lexicons.small_families(spark))
     return reports.lemma_report(docs(spark, sf_dir), notes).select("doc_id", F.sha2("report", 256).alias("report_sha256"))
+
+
+@query(f"""WITH {_BOOKS} SELECT doc_id, coalesce(replace(nullif(regexp_extract(translate(note || doc_id || ',5', ' ' || chr(160), ''), '-?\\d+(?:[.,]\\d+)?'), ''), ',', '.')::DOUBLE, -1) AS value FROM bk""")
+def numbers_in_texts(spark, sf_dir):
+    """The first number of a note."""
+    b = _books(spark, sf_dir)
+    return b.select("doc_id", F.coalesce(T.number_in(F.concat("note", F.col("doc_id").cast("string"), F.lit(",5"))), F.lit(-1.0)).alias("value"))

@@ -268,3 +268,15 @@ def test_merged_and_evolution(spark):
     assert "| 1 | SUJET VERBE . | oui |" in reports.structure_report(sigs)
     radii = spark.createDataFrame([("a", k, f"m{k}", 0.5) for k in range(4)], "entity string, axis int, metric string, radius double")
     assert reports.radar_svg(radii).count("<polygon") == 1
+
+
+def test_required_measures(spark):
+    from lexiloom.plans import metrics
+
+    wide = spark.createDataFrame([(1, 0.5, 1.0), (2, 0.1, None)], "doc_id long, a double, b double")
+    assert metrics.complete(wide, ("a",)).count() == 2 and [r.doc_id for r in metrics.complete(wide, ("a",)).collect()] == [1, 2]
+    with pytest.raises(Exception, match="incomplete measures of document 2"):
+        metrics.complete(wide, ("a", "b")).collect()
+    with pytest.raises(Exception, match="incomplete"):
+        metrics.complete(spark.createDataFrame([(3, float("nan"))], "doc_id long, a double"), ("a",)).collect()
+    assert metrics.registry(spark).where("burrows").count() == 30

@@ -54,6 +54,8 @@ def test_windows(spark):
 def test_names(spark):
     assert run(spark, T.display_name, "lettre1.md", "_Durand.md", "mon_roman-12.md") == ["Lettre 1", "Durand", "Mon roman 12"]
     assert run(spark, T.slug, "L'Été à Œuvre!") == "l-ete-a-oeuvre"
+    assert run(spark, T.ascii_fold, "Ȳžč ŁÓDŹ ǻ ß") == "yzc łodz a ß"
+    assert run(spark, T.number_in, "environ 1 234,5 %", "-3.25x", "rien") == [1234.5, -3.25, None]
 
 
 def test_punctuation(spark):
