@@ -264,9 +264,13 @@ def stylistic_repetition(spark, sf_dir):
 
 @query(f"""WITH {_RKNOWN}, {_FAM}, keys AS (SELECT doc_id, pos, 'L:' || lemma AS key FROM kw WHERE NOT fn UNION ALL SELECT DISTINCT doc_id, pos, 'F:' || family FROM kw JOIN fam ON lemma = lexeme WHERE NOT fn),
 hit AS (SELECT DISTINCT doc_id, pos FROM (SELECT doc_id, pos, pos - lag(pos) OVER w AS back, lead(pos) OVER w - pos AS ahead FROM keys WINDOW w AS (PARTITION BY doc_id, key ORDER BY pos)) WHERE back <= 300 OR ahead <= 300)
-SELECT kw.doc_id, kw.pos, word, lemma, hit.pos IS NOT NULL AS repeated FROM kw LEFT JOIN hit ON kw.doc_id = hit.doc_id AND kw.pos = hit.pos""")
+SELECT kw.doc_id, count(*) AS words, count(hit.pos) AS repeated, sha256(string_agg(word || '/' || lemma || '/' || (hit.pos IS NOT NULL)::VARCHAR, ' ' ORDER BY kw.pos)) AS annotations_sha256 FROM kw LEFT JOIN hit ON kw.doc_id = hit.doc_id AND kw.pos = hit.pos GROUP BY kw.doc_id""")
 def repetition_annotations(spark, sf_dir):
-    return repetition.annotations(_rwords(spark, sf_dir), lexicons.small_families(spark)).withColumn("pos", F.col("pos").cast("long"))
+    """Every word's lemma and whether it is repeated, in the order of the text: counts and one digest a document."""
+    rows = repetition.annotations(_rwords(spark, sf_dir), lexicons.small_families(spark))
+    item = F.struct("pos", F.concat_ws("/", "word", "lemma", F.col("repeated").cast("string")).alias("s"))
+    held = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("words"), F.sum(F.col("repeated").cast("long")).alias("repeated"), F.array_sort(F.collect_list(item)).alias("a"))
+    return held.select("doc_id", "words", "repeated", F.sha2(F.array_join(F.transform("a", lambda x: x["s"]), " "), 256).alias("annotations_sha256"))
 
 
 _FRAME = "PARTITION BY doc_id, start"
@@ -407,9 +411,12 @@ st AS (SELECT cx.*, lex.lemma AS s_lemma, CASE WHEN starts_with(lower(lex.catego
 op AS (SELECT DISTINCT word, category FROM st WHERE direct IS NULL AND length(word) > 3), ask AS (SELECT word, category, left(word, n::INT) AS prefix FROM (SELECT *, unnest(range(3, length(word))) AS n FROM op)),
 kn AS (SELECT DISTINCT lower(category) AS k, lemma AS k_lemma, left(form, n::INT) AS prefix FROM (SELECT *, unnest(range(3, length(form) + 1)) AS n FROM lex)), gu AS (SELECT word, ask.category, k_lemma AS guess FROM ask JOIN kn USING (prefix) WHERE starts_with(k, ask.category)
   QUALIFY row_number() OVER (PARTITION BY word, ask.category ORDER BY length(prefix) DESC, levenshtein(word, k_lemma), length(k_lemma), k_lemma) = 1)
-SELECT doc_id, word AS form, arg_max(coalesce(direct, guess, s_lemma, nullif(lemma, ''), word), pos) AS lemma FROM st LEFT JOIN gu USING (word, category) GROUP BY doc_id, word""")
+SELECT doc_id, count(*) AS forms, sha256(string_agg(form || '=' || lemma, ' ' ORDER BY form)) AS lemmas_sha256 FROM (SELECT doc_id, word AS form, arg_max(coalesce(direct, guess, s_lemma, nullif(lemma, ''), word), pos) AS lemma FROM st LEFT JOIN gu USING (word, category) GROUP BY doc_id, word) GROUP BY doc_id""")
 def contextual_lemmas(spark, sf_dir):
-    return lexicons.contextual_lemmas(syntax.contextual_tokens(_parses(spark, sf_dir)), lexicons.small_lexicon(spark))
+    """The lemma of every form of a document by its context: a count and one digest a document."""
+    rows = lexicons.contextual_lemmas(syntax.contextual_tokens(_parses(spark, sf_dir)), lexicons.small_lexicon(spark))
+    line = F.sort_array(F.collect_list(F.struct("form", F.concat_ws("=", "form", "lemma").alias("s"))))
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("forms"), F.sha2(F.array_join(F.transform(line, lambda x: x["s"]), " "), 256).alias("lemmas_sha256"))
 
 
 # ---- windows and cleaning ------------------------------------------------------------
