@@ -106,7 +106,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     order = stage(successors(base.groupBy("doc_id").agg(F.max(F.length("text")).cast("long").alias("n"))), "successors")
     keyed = base.withColumn("fp", fingerprint("text"))
     following = keyed.join(order.select(F.col("doc_id").alias("o_id"), "prev_id", (F.floor(F.col("prev_n") / 3)).cast("int").alias("room")), F.col("doc_id") == F.col("o_id"))
-    following = following.select("prev_id", F.struct(F.sha2("text", 256).alias("digest"), F.col("text").substr(F.lit(1), F.col("room")).alias("head"), "fp").alias("next"))
+    following = following.select("prev_id", F.struct(F.sha2("text", 256).alias("digest"), F.col("text").substr(F.lit(1), F.col("room")).alias("head"), "fp", "own_id").alias("next"))  # the same columns as the other side of the join below, so that both read one exchange
     following = following.groupBy("prev_id").agg(F.min("next").alias("next"))
     n = F.length("text")
     kept = n - F.floor(n / 3).cast("int")
