@@ -7,15 +7,21 @@ Python loop runs over words.
 
 from __future__ import annotations
 
+import ctypes
 import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 SPACE, WORD, OTHER, SINGLE = 0, 1, 2, 3
 #: Texts are gathered into batches of about so many code points (a longer text is a batch of its own).
 BATCH_CHARS = 1_000_000
+#: An Arrow batch is worked through in slices of about so many code points (a longer text is a slice of its own).
+PIECE_CHARS = 250_000
 
 
 @functools.cache
@@ -75,6 +81,29 @@ def batches(texts: list[str], limit: int = BATCH_CHARS):
         yield start, len(texts)
 
 
+def release() -> None:
+    """Gives freed memory back to the system: a worker lives on between tasks, beside the other one and the JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # another C library
+        pass
+
+
+def pieces(batches: Iterator[pa.RecordBatch], texts: Callable[[pa.RecordBatch], pa.Array], limit: int = PIECE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Every row of the batches in order, in slices of about `limit` code points, and each slice's texts (null: empty)."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.utf8_length(texts(batch)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        start = 0
+        while start < len(ends):
+            done = ends[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, done + limit, side="right")))
+            piece = batch.slice(start, end - start)
+            yield piece, [t or "" for t in texts(piece).to_pylist()]
+            start = end
+        release()
+
+
 class Words:
     """The words of a batch: lower-cased 64-bit hashes, code-point spans and each document's word range.
 

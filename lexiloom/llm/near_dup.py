@@ -84,9 +84,9 @@ def signatures(docs: DataFrame, bands: int, rows: int, id_col: str = "doc_id", t
 
     def run(batches):
         a, b = _permutations(bands * rows)
-        for batch in batches:
+        for batch, texts in _vector.pieces(batches, lambda x: x.column(1)):
             digests, sizes, keys = [], [], []
-            for s in _vector.shingle_sets([t or "" for t in batch.column(1).to_pylist()], shingle):
+            for s in _vector.shingle_sets(texts, shingle):
                 sizes.append(len(s))
                 if not len(s):
                     digests.append(None)

@@ -127,8 +127,8 @@ def fit(docs: DataFrame, labelled: DataFrame, label_col: str = "toxic", per_clas
     sample = stage(training_sample(docs, labelled, label_col, per_class, id_col, text_col), "toxic-sample")
 
     def copies(batches):
-        for batch in batches:
-            low = [int(s[0]) if len(s) else 0 for s in _vector.shingle_sets(batch.column(2).to_pylist(), 5)]
+        for batch, texts in _vector.pieces(batches, lambda x: x.column(2)):
+            low = [int(s[0]) if len(s) else 0 for s in _vector.shingle_sets(texts, 5)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(low, np.uint64).view(np.int64))], ["doc_id", "label", "copy"])
 
     # one document for each smallest shingle: near copies share theirs
@@ -142,9 +142,8 @@ def fit(docs: DataFrame, labelled: DataFrame, label_col: str = "toxic", per_clas
         return model
 
     def counts(batches):
-        for batch in batches:
+        for batch, texts in _vector.pieces(batches, lambda x: x.column(2), _vector.BATCH_CHARS):
             label = batch.column(1).to_numpy(zero_copy_only=False)
-            texts = batch.column(2).to_pylist()
             for a, b in _vector.batches(texts):
                 w = _vector.Words(texts[a:b])
                 doc = w.doc_of_word()
@@ -181,8 +180,8 @@ def fit(docs: DataFrame, labelled: DataFrame, label_col: str = "toxic", per_clas
     keys, scores = model.keys, model.scores
 
     def clean_segments(batches):
-        for batch in batches:
-            found = list(_scan(batch.column(0).to_pylist(), keys, scores, drift))
+        for _, texts in _vector.pieces(batches, lambda x: x.column(0)):
+            found = list(_scan(texts, keys, scores, drift))
             steps = [round(v * SCORE_STEPS) for _, own in found for _, _, v in own]
             yield pa.RecordBatch.from_arrays([pa.array([-1, *steps], pa.int64()), pa.array([sum(n for n, _ in found), *([1] * len(steps))], pa.int64())], ["step", "n"])
 
@@ -202,8 +201,8 @@ def fit(docs: DataFrame, labelled: DataFrame, label_col: str = "toxic", per_clas
     model.k = max(1e-9, float(times.sum()) / (null_words * math.exp(-low * floor)))
 
     def totals(batches):
-        for batch in batches:
-            own = [_statistic(n, found, model)[0] for n, found in _scan(batch.column(1).to_pylist(), keys, scores, drift)]
+        for batch, texts in _vector.pieces(batches, lambda x: x.column(1)):
+            own = [_statistic(n, found, model)[0] for n, found in _scan(texts, keys, scores, drift)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.float64())], ["label", "total"])
 
     rows = train.select("label", "text").mapInArrow(totals, "label int, total double").collect()  # at most 2 * per_class pairs of numbers
@@ -225,9 +224,9 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     schema = "doc_id long, score double, predicted int, n_words long, n_segments int, p_value double, passages array<struct<start:int,end:int,score:double>>"
 
     def run(batches):
-        for batch in batches:
+        for batch, texts in _vector.pieces(batches, lambda x: x.column(1)):
             out = []
-            for n, found in _scan([t or "" for t in batch.column(1).to_pylist()], model.keys, model.scores, model.drift):
+            for n, found in _scan(texts, model.keys, model.scores, model.drift):
                 total, count, p = _statistic(n, found, model)
                 z = max(-60.0, min(60.0, model.slope * math.log1p(total) + model.offset))
                 s = 0.0 if model.offset <= -60 else 1 / (1 + math.exp(-z))
@@ -246,10 +245,9 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> Data
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
-            texts = batch.column(0).field(at).to_pylist()
+        for batch, texts in _vector.pieces(batches, lambda x: x.column(0).field(at)):
             keep = []
-            for n, found in _scan([t or "" for t in texts], model.keys, model.scores, model.drift):
+            for n, found in _scan(texts, model.keys, model.scores, model.drift):
                 keep.append(model.offset <= -60 or model.slope * math.log1p(_statistic(n, found, model)[0]) + model.offset < 0)
             yield batch.filter(pa.array(keep, pa.bool_()))
 

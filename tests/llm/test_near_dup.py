@@ -1,9 +1,11 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from lexiloom.llm import _components, _vector, near_dup
+from lexiloom.llm import _components, _vector, near_dup, toxicity
 
 
 def corpus(spark, n=150, seed=5):
@@ -182,3 +184,48 @@ def test_recall_on_a_whole_table(spark):
 def test_words_and_shingles():
     a, b, c = _vector.shingle_sets(["One two, three FOUR five six", "one TWO three four five SIX!", "日本語 x"], 5)
     assert len(a) == 2 and (a == b).all() and len(c) == 1
+
+
+class Worker:
+    """Stands for a table: gives back the function that an operator runs over its Arrow batches."""
+
+    columns = ["doc_id", "text"]
+
+    def __getattr__(self, name):
+        return lambda *a: a[0] if name == "mapInArrow" else self
+
+    @property
+    def schema(self):
+        return None
+
+
+@pytest.mark.parametrize("operator", ["signatures", "without_toxic"])
+def test_memory_of_a_large_batch(spark, monkeypatch, operator):
+    """A worker holds a slice of an Arrow batch at a time; every row comes out, in order, as if it were alone."""
+    rnd = random.Random(2)
+    texts = [" ".join(f"w{rnd.randrange(5000)}" for _ in range(500)) + " bad" * 10 * (i % 3 == 1) for i in range(2000)] + [None, "", "日本語 \U0001f600"]
+    if operator == "signatures":
+        batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts, "t1": [0] * len(texts), "t2": [0] * len(texts)})
+        run = near_dup.signatures(Worker(), 2, 3)
+    else:
+        rows = pa.StructArray.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+        batch = pa.RecordBatch.from_arrays([rows], ["row"])
+        monkeypatch.setattr(toxicity._rows, "held", lambda docs: docs)
+        monkeypatch.setattr(toxicity._rows, "released", lambda run: run)
+        run = toxicity.without_toxic(Worker(), toxicity.Model(_vector.Words(["bad"]).hash, np.full(1, 2.0), 0.02, 1.0, 0.01, 1.0, -1.0))
+    alone = [r for k in (0, 1, 999, 1999, 2000, 2001, 2002) for b in run([batch.slice(k, 1)]) for r in b.to_pylist()]
+    tracemalloc.start()
+    try:
+        got = []
+        for out in run([batch]):
+            got.append(out.slice(0))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    got = [r for out in got for r in out.to_pylist()]
+    assert len(alone) > 1 and [r for r in got if r in alone] == alone
+    if operator == "signatures":
+        assert [r["doc_id"] for r in got] == list(range(len(texts)))
+    else:
+        assert [r["row"]["doc_id"] for r in got] == [i for i in range(len(texts)) if i >= 2000 or i % 3 != 1]
+    assert peak < 40e6
