@@ -133,9 +133,10 @@ def text_report(name: str, noted: DataFrame, important: list[str]) -> str:
 def lemma_report(docs: DataFrame, annotations: DataFrame) -> DataFrame:
     """doc_id, report: each text with its words as lemmas, repeated ones in bold. annotations: doc_id, pos, lemma, repeated, of words of two letters or more."""
     shown = F.when(F.col("repeated"), F.concat(F.lit("**"), "lemma", F.lit("**"))).otherwise(F.col("lemma"))
-    words = annotations.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", shown.alias("s")))).alias("words"))
+    words = annotations.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", shown.alias("s")))).alias("words")).select("doc_id", F.col("words.s").alias("words"))
     gaps = docs.select("doc_id", F.split("text", rf"{T.W}{{2,}}", -1).alias("gaps")).join(words, "doc_id", "left")
-    said = F.transform("gaps", lambda g, i: F.concat(g, F.coalesce(F.get("words", i)["s"], F.lit(""))))
+    said = F.zip_with("gaps", "words", lambda g, s: F.concat(g, F.coalesce(s, F.lit(""))))
+    said = F.when(F.col("words").isNull(), F.col("gaps")).otherwise(said)
     return gaps.select("doc_id", F.array_join(said, "").alias("report"))
 
 
