@@ -115,7 +115,7 @@ def podium(neighbours: DataFrame, authors: DataFrame, k: int = 5) -> DataFrame:
     surname = F.element_at(F.split(F.trim("author"), r"\s+"), -1)
     top = neighbours.where(F.col("rank") <= k).join(authors.select(F.col("entity").alias("right"), surname.alias("surname")), "right")
     means = top.groupBy("left", "surname").agg(F.count(F.lit(1)).alias("works"), F.avg("percentile").alias("percentile"))
-    return means.withColumn("place", F.row_number().over(Window.partitionBy("left").orderBy(F.desc("percentile"), "surname")))
+    return means.withColumn("place", F.row_number().over(Window.partitionBy("left").orderBy(F.desc(F.round("percentile", 9)), "surname")))  # means of equal shares differ in their last digits
 
 
 def radar(long: DataFrame, axes: list[tuple[str, bool]]) -> DataFrame:
